@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, near_dedup, quality_classifier, quality_rules
+from . import byte_bpe, fingerprints, near_dedup, quality_classifier, quality_rules, secret_scans, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,18 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_next(_table(spark, sf_dir, "documents"))
 
 
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the outcome of a page is the label of its number: bad if toxic or of low quality
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return url_filters.judge(_table(spark, sf_dir, "pages"), labels)
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = ["assign", "access", "hex"]
+    found = secret_scans.scan(_table(spark, sf_dir, "documents"), "doc_id")
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in base), F.sha2(secret_scans.listed(base), 256).alias("base_sha256"), secret_scans.listed(secret_scans.KINDS).alias("spans"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.MARGINS, *(f"most_{name}" for name in quality_rules.MARGINS)
@@ -39,7 +51,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op4_quality_rules, op7_quality_classifier, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_secret_scans, op4_quality_rules, op7_quality_classifier, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
