@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, near_dedup, quality_classifier, quality_rules, secret_scans, url_filters
+from . import byte_bpe, fingerprints, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_classifier.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
@@ -51,7 +59,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_secret_scans, op4_quality_rules, op7_quality_classifier, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_quality_classifier, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
