@@ -214,3 +214,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return members.join(final, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep", "doc_id")).alias("kept")
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The documents without near-duplicates, columns unchanged: of each component
+    the document of least doc_id stays, once."""
+    judged = written(near_duplicates(docs), "judged")
+    gone = judged.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id", "text"])

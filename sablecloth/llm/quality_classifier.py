@@ -187,3 +187,16 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: list
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in out), pa.array(np.concatenate(p) if p else np.zeros(0))], names=[*(f.name for f in out), "score"])
 
     return rows.mapInArrow(scored, schema).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """The documents that the classifier doesn't reject, columns unchanged."""
+    model = fit(docs, labels, label)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = column_bytes(batch.column(batch.schema.get_field_index("text")))
+            p = [model(*passages(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in slices(off)]
+            yield batch.filter(pa.array(np.concatenate(p) >= THRESHOLD)) if p else batch
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_dedup, url_filters
+from . import byte_bpe, fingerprints, mixing, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_quality_classifier, op9_near_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_url_filters, op3_secret_scans, op4_quality_rules, op5_suffix_dedup, op6_substring_dedup, op7_quality_classifier, op8_mixing, op9_near_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -174,27 +174,45 @@ def _cuts(scanned: DataFrame) -> dict[int, int]:
     return {r["class"]: r["bin"] for r in rows}
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns named by keep, base spans by kind, and the spans that the tests add.
-
-    Two passes: one over the texts, whose result is a narrow table, and one over that."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, text.alias("_text"))
+def _narrow(rows: DataFrame, *keep: str) -> DataFrame:
+    """keep, base spans by kind and scored runs; rows has the text as _text."""
     base = _base(F.col("_text"))
     found = rows.select(*keep, *(spans.alias(kind) for kind, spans in base.items()), _spans(F.col("_text"), RUN, F.col("_text").rlike(RUN)).alias("_runs"))
-    narrow = found.select(*keep, *(F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(kind) for kind in base), _scored(F.col("_runs")).alias("runs"))
-    scanned = written(narrow, "secrets")
-    cuts = _cuts(scanned)
-    most = F.lit(-1)
-    inside = lambda r: F.exists(F.concat(*base), lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
+    return found.select(*keep, *(F.transform(kind, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(kind) for kind in base), _scored(F.col("_runs")).alias("runs"))
+
+
+def _with_random(narrow: DataFrame, cuts: dict[int, int]) -> DataFrame:
+    """Adds the runs that the cuts let through and that no base span touches."""
 
     def reported(r: Column) -> Column:
-        cut = most
+        cut = F.lit(-1)
         for k, b in cuts.items():
             cut = F.when(r["class"] == k, b).otherwise(cut)
-        return ~r["decoy"] & (r["bin"] <= cut) & ~inside(r)
+        touched = F.exists(F.concat("assign", "access", "hex"), lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"]))
+        return ~r["decoy"] & (r["bin"] <= cut) & ~touched
+
+    return narrow.withColumn("random", F.transform(F.filter("runs", reported), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))).drop("runs")
+
+
+def scan(docs: DataFrame, *keep: str) -> DataFrame:
+    """The columns named by keep, base spans by kind, and the spans that the tests add.
+
+    Two passes: one over the texts, whose result is a narrow table, and one over that."""
+    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    scanned = written(_narrow(rows, *keep), "secrets")
+    return _with_random(scanned, _cuts(scanned))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents with every secret replaced by a mark; n_chars follows, other columns stay.
 
-    return scanned.withColumn("random", F.transform(F.filter("runs", reported), lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e")))).drop("runs")
+    Two passes over the texts and no table between them: the first only counts."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    found = _with_random(_narrow(rows, "_row", "_text"), _cuts(_narrow(rows)))
+    text = F.when(F.size(F.concat(*KINDS)) == 0, F.col("_row.text")).otherwise(redacted(F.col("_text"), KINDS))
+    clean = found.select("_row", text.alias("_clean"))
+    out = {"text": F.col("_clean"), "n_chars": F.when(F.col("_clean").eqNullSafe(F.col("_row.text")), F.col("_row.n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else None}
+    return clean.select(*(out[c].alias(c) if c in out else F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def listed(kinds: list[str]) -> Column:
