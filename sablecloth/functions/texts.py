@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..errors import BlockedError, LimitError
@@ -112,8 +113,6 @@ def _matches(text: Column, rule: Rule, part: Part, k: int) -> Column:
 
 def _python_matches(text: Column, rule, k: int) -> Column:  # noqa: ANN001
     """Matches of a rule that must run in Python; a broken deadline gives null."""
-    import pandas as pd
-
     @F.pandas_udf(f"array<{MATCH}>")
     def run(texts: pd.Series) -> pd.Series:
         out = []
@@ -173,8 +172,6 @@ def label_of(strategy, category: Column) -> Column:  # noqa: ANN001
 
 def masks_of(strategy):  # noqa: ANN001, ANN201
     """Masks of arrays of values, in Python workers."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def run(values: pd.Series, categories: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else [strategy.mask(x, c) if x else strategy.label(c) for x, c in zip(v, k, strict=True)] for v, k in zip(values, categories, strict=True)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import NotCleanError
@@ -155,8 +156,6 @@ def assert_clean(df: DataFrame, columns: list[str], policy: Policy | None = None
 
 def clean_bytes(raw: Column, policy: Policy | None = None) -> Column:
     """Bytes of UTF-8, cleaned; bytes that aren't UTF-8 come through as they are."""
-    import pandas as pd
-
     policy = policy or Policy()
 
     @F.pandas_udf("binary")
