@@ -10,14 +10,14 @@ A masked number becomes a string, so its column does for all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import BlockedError, PseudonymError
 from ..functions.texts import redact
 from ..operators.clean import clean_text
-from ..operators.documents import MAX_DEPTH, NON_FINITE, REMOVED, TRUNCATED
+from ..operators.documents import MAX_DEPTH, NON_FINITE, REMOVED, TRUNCATED, clean_json
 from .policy import Policy, canonical_path
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.NullType)
@@ -38,11 +38,22 @@ class Compiler:
         self.policy, self.adapters = policy, adapters or {}
         self.counts = dict.fromkeys(("field_rule_matches", "path_rule_matches", "not_allowed", "masked", "removed", "truncated", "pseudonymized"), 0)
         self.dropped: list[str] = []
+        #: Lambdas around the current place, and whether Python is needed inside of one.
+        self.inside, self.python_inside = 0, False
+
+    def needs_python(self, native: bool) -> bool:
+        """Python functions can't stand in lambdas: such columns go through the JSON walk."""
+        if self.inside and not native:
+            self.python_inside = True
+            return True
+        return False
 
     def count(self, name: str) -> None:
         self.counts[name] += 1
 
     def text(self, c: Column) -> Column:
+        if self.needs_python(self.policy.masking.native and all(r.native for r in self.policy.rules)):
+            return F.lit("")
         return clean_text(c, self.policy, "null")
 
     def as_text(self, c: Column, kind: T.DataType) -> Column:
@@ -58,6 +69,8 @@ class Compiler:
         if "credential" in self.policy.block_categories:
             raise BlockedError(("credential",))
         label = F.lit(self.policy.masking.label("credential"))
+        if self.needs_python(self.policy.masking.native):
+            return label
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             return F.when(c.isNotNull(), label).otherwise(label)
         text = self.as_text(c, kind)
@@ -80,6 +93,8 @@ class Compiler:
                 raise PseudonymError("pseudonymize needs a policy with pseudonyms")
             if isinstance(kind, (T.StringType, T.BinaryType, T.NumericType)) and not isinstance(kind, T.DecimalType):
                 self.count("pseudonymized")
+                if self.needs_python(False):
+                    return F.lit("")
                 return self.policy.pseudonyms.column(self.as_text(c, kind), F.lit(rule.category or "credential"))
         return self.mask(c, kind)
 
@@ -131,10 +146,11 @@ class Compiler:
                 if out is not None:
                     made.append(out.alias(self.key(f.name, taken)))
             return F.when(c.isNotNull(), F.struct(*made)) if made else F.when(c.isNotNull(), F.expr("named_struct()"))
-        if isinstance(kind, T.ArrayType):
-            return self.array(c, kind, path, depth)
-        if isinstance(kind, T.MapType):
-            return self.map(c, kind, path, depth)
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            self.inside += 1
+            out = self.array(c, kind, path, depth) if isinstance(kind, T.ArrayType) else self.map(c, kind, path, depth)
+            self.inside -= 1
+            return out
         self.counts["unsupported"] = self.counts.get("unsupported", 0) + 1
         return F.when(c.isNotNull(), F.lit(f"[UNSUPPORTED:{kind.typeName()}]"))
 
@@ -193,7 +209,13 @@ def compile_policy(schema: T.StructType, policy: Policy | None = None, adapters:
     compiler = Compiler(policy or Policy(), adapters)
     columns, taken = [], set()
     for f in schema.fields:
-        out = compiler.child(F.col(f"`{f.name}`"), f.dataType, (f.name,), f.name, 1)
+        compiler.python_inside = False
+        c = F.col(f"`{f.name}`")
+        out = compiler.child(c, f.dataType, (f.name,), f.name, 1)
+        if out is not None and compiler.python_inside:
+            kind = SparkSession.active().createDataFrame([], T.StructType([f])).select(out.alias(f.name)).schema
+            walked = clean_json(F.to_json(F.struct(c.alias(f.name))), replace(policy, max_depth=policy.max_depth + 1) if policy else None)
+            out = F.from_json(walked["cleaned"], kind)[f.name]
         if out is not None:
             columns.append(out.alias(compiler.key(f.name, taken)))
     return Compiled(columns, compiler.counts, compiler.dropped)
