@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, mixing, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_dedup, url_filters
+from . import byte_bpe, fingerprints, mixing, near_dedup, oracles, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_dedup, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,4 +67,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others fit models, draw sketches or samples, or are too slow in SQL over whole
+    tables; tests hold those against plain versions."""
+    return {"op2_url_filters": oracles.url_filters_sql(), "op6_substring_dedup": oracles.substring_sql(), "op9_near_dedup": oracles.near_dedup_sql()}
