@@ -116,14 +116,16 @@ def thresholds(counted: DataFrame) -> DataFrame:
     groups = written(groups, "quality-sketches")
     merged = lambda df: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in MARGINS)]
     languages = groups.groupBy("lang").agg(*merged(groups))
-    everything = groups.groupBy().agg(*merged(groups)).select(*(_threshold(F.col(name), name).alias(name) for name in MARGINS)).first()
+    everything = None  # an empty table has no quantiles
+    if not groups.isEmpty():
+        everything = groups.groupBy().agg(*merged(groups)).select(*(_threshold(F.col(name), name).alias(name) for name in MARGINS)).first()
     own = groups.select("lang", "source", "n", *(_threshold(F.col(name), name).alias(name) for name in MARGINS))
     upper = languages.select(F.col("lang").alias("of_lang"), F.col("n").alias("lang_n"), *(_threshold(F.col(name), name).alias(f"lang_{name}") for name in MARGINS))
     joined = own.join(upper, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
     return joined.select(
         F.col("lang").alias("group_lang"),
         F.col("source").alias("group_source"),
-        *(F.when(F.col("n") >= LEAST_GROUP, F.col(name)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{name}")).otherwise(F.lit(everything[name] if everything else None)).alias(f"most_{name}") for name in MARGINS),
+        *(F.when(F.col("n") >= LEAST_GROUP, F.col(name)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{name}")).otherwise(F.lit(everything[name] if everything else None).cast("double")).alias(f"most_{name}") for name in MARGINS),
     )
 
 
