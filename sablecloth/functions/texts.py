@@ -128,7 +128,10 @@ def _python_matches(text: Column, rule, k: int) -> Column:  # noqa: ANN001
 
 def matches(text: Column, policy) -> Column:  # noqa: ANN001
     """Resolved matches of a text; null where a deadline broke."""
-    found = [_matches(text, rule, part, k) if rule.native else _python_matches(text, rule, k) for k, rule in enumerate(policy.rules) for part in (rule.parts if rule.native else (None,))]
+    found = []
+    for k, rule in enumerate(policy.rules):
+        # rules of users need find() only; those run in Python
+        found += [_matches(text, rule, part, k) for part in rule.parts] if getattr(rule, "native", False) else [_python_matches(text, rule, k)]
     if not found:
         return _none(MATCH)
     everything = F.concat(*found)
@@ -144,7 +147,7 @@ def matches(text: Column, policy) -> Column:  # noqa: ANN001
 def masked(text: Column, found: Column, policy) -> Column:  # noqa: ANN001
     """struct<cleaned, findings> of a text and its resolved matches."""
     strategy = policy.masking
-    if strategy.native:
+    if getattr(strategy, "native", False):
         with_mask = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("end"), m["rule"].alias("rule_name"), m["category"].alias("category"), m["reason"].alias("reason"), F.concat(m["prefix"], F.when(m["value"] == "", label_of(strategy, m["category"])).otherwise(strategy.column(m["value"], m["category"]))).alias("replacement")))
     else:
         masks = masks_of(strategy)(F.transform(found, lambda m: m["value"]), F.transform(found, lambda m: m["category"]))

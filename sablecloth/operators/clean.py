@@ -44,7 +44,7 @@ def result(text: Column, policy: Policy | None = None, audit: bool = False) -> C
         )
 
     # bound once by a lambda; Python can't run in one, so then the parts are computed apart
-    return F.transform(F.array(found), made)[0] if policy.masking.native else made(found)
+    return F.transform(F.array(found), made)[0] if getattr(policy.masking, "native", False) else made(found)
 
 
 def _raised(res: Column, policy: Policy) -> Column:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import BlockedError, PseudonymError
+from ..functions.masking import keyed
 from ..functions.texts import redact
 from ..operators.clean import clean_text
 from ..operators.documents import MAX_DEPTH, NON_FINITE, REMOVED, TRUNCATED, clean_json
@@ -52,7 +53,7 @@ class Compiler:
         self.counts[name] += 1
 
     def text(self, c: Column) -> Column:
-        if self.needs_python(self.policy.masking.native and all(r.native for r in self.policy.rules)):
+        if self.needs_python(getattr(self.policy.masking, "native", False) and all(getattr(r, "native", False) for r in self.policy.rules)):
             return F.lit("")
         return clean_text(c, self.policy, "null")
 
@@ -69,12 +70,13 @@ class Compiler:
         if "credential" in self.policy.block_categories:
             raise BlockedError(("credential",))
         label = F.lit(self.policy.masking.label("credential"))
-        if self.needs_python(self.policy.masking.native):
+        if self.needs_python(getattr(self.policy.masking, "native", False)):
             return label
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             return F.when(c.isNotNull(), label).otherwise(label)
         text = self.as_text(c, kind)
-        return F.when(text.isNull() | (text == ""), label).otherwise(self.policy.masking.column(text, F.lit("credential")))
+        masked = self.policy.masking.column if hasattr(self.policy.masking, "column") else keyed(self.policy.masking)
+        return F.when(text.isNull() | (text == ""), label).otherwise(masked(text, F.lit("credential")))
 
     def act(self, rule, c: Column, kind: T.DataType) -> Column:  # noqa: ANN001
         if rule.action == "remove":

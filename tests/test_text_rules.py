@@ -139,3 +139,32 @@ def test_reports(spark):
 def test_bytes_keep_what_is_not_text(spark):
     rows = spark.createDataFrame([(bytearray(b"\xff a@b.co \xfe"),)], "b binary")
     assert bytes(rows.select(c.clean_bytes(F.col("b"), Policy.default()).alias("c")).first().c) == b"\xff [EMAIL] \xfe"
+
+
+class Shouting:
+    """A rule of a user: find() and names, nothing else."""
+
+    name = category = "shout"
+
+    def find(self, text):
+        for i, word in enumerate(text.split(" ")):
+            if word.isupper():
+                at = len(" ".join(text.split(" ")[:i])) + (i > 0)
+                yield at, at + len(word), "", word, "a loud word"
+
+
+class Lowered:
+    """A mask of a user."""
+
+    def mask(self, value, category):
+        return value.lower()
+
+    def label(self, category):
+        return "[x]"
+
+
+def test_rules_and_masks_of_users(spark):
+    policy = Policy(rules=(Shouting(),), masking=Lowered())
+    rows = spark.createDataFrame([("be QUIET now",), (None,)], "t string")
+    assert t.redact("be QUIET now", policy)[0] == "be quiet now"
+    assert [x.c for x in rows.select(c.clean_text(F.col("t"), policy).alias("c")).collect()] == ["be quiet now", None]
