@@ -2,18 +2,22 @@
 
 A document is the set of its five-word shingles, lower-cased in A-Z.  Documents
 of equal sets are one point.  Every independent tree sends each point down the
-path of its minwise token; points that share a path meet in a node.  The nodes
-of a tree are handled in two rounds.  First every member is compared with the
-node's least member, which settles groups of copies of any size with one link a
-member.  Then only nodes that still hold points of different components go on:
-small ones are compared exhaustively, large ones branch again by further minwise
-tokens, and what still is large at the last level is compared in blocks, so no
-pair of a node is given up.  A comparison is an estimate from 96 minwise values;
-what the estimate doesn't rule out is confirmed on the full sets.
+path of its minwise token; points that share a path meet in a node.
+
+Round one compares every member of a node with the node's most popular point (the
+one whose tokens most points share, which is the original in a group of copies):
+one comparison a member, whatever the size of the group.  Round two takes the
+nodes that still hold points of different components.  Small ones are compared
+exhaustively.  A large one branches again by further minwise tokens if that parts
+it, and is compared in blocks if it doesn't, so no pair of a node is given up.  A
+pair is handled in the first tree that it shares.  Comparisons are estimates from
+256 minwise values; points with a partner that the estimate doesn't rule out go,
+with their texts, to the same groups again for the comparison of full sets, which
+answers with as many links as connect a group and no more.
 
 Recall: a pair of similarity s misses a tree of depth one with probability 1-s, so
-all 16 trees with (1-s)^16, under 1e-13 at s = 0.85; each further level of a large
-node loses (1-s)^4.  The estimate loses a pair at the threshold with about 1e-7.
+all 16 trees of round one with (1-s)^16, under 1e-13 at s = 0.85, and the eight of
+round two with 3e-7; each further level of a large node loses (1-s)^4.  The estimate loses a pair at the threshold with about 1e-6.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; rows of one doc_id are
@@ -29,17 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .cluster import forget, parts, written
+from .cluster import forget, written
 from .components import components
 from .textbytes import U64, column_bytes, hash_spans, keyed_by_row, mix, mix1, padded, shingles, slices, words
 
 SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 85
-TREES, VALUES = 16, 96
+#: Trees, and values of a signature; the first values are the trees' tokens.
+TREES, VALUES = 16, 256
 #: Estimated similarity below which a pair is ruled out: five standard errors under the threshold.
-RULED_OUT = 0.66
-#: Points of a node that are compared with one another; coordinates by which a larger one branches, levels, and points of a block.
-SMALL, BRANCHES, LEVELS, BLOCK = 32, 4, 4, 256
+RULED_OUT = 0.74
+#: Points of a block, which are compared with one another; coordinates by which a larger node
+#: branches, and levels; the share of a node that one branch holds at most if branching parts it.
+BLOCK, BRANCHES, LEVELS, PARTED = 512, 4, 3, 0.3
+#: Trees of round two, which compares what round one left apart.
+SECOND_TREES = 8
 _ODD = np.array([mix1(5000 + k) | 1 for k in range(VALUES)], dtype=U64)
 _SECOND = U64(0xA24BAED4963EE407)
 
@@ -62,7 +70,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, off = column_bytes(batch.column("text"))
         total = len(off) - 1
         size, one, two = np.zeros(total, np.int64), np.zeros(total, U64), np.zeros(total, U64)
-        tokens, values = np.zeros((total, TREES), U64), np.zeros((total, VALUES), np.uint16)
+        tokens, values = np.zeros((total, TREES), U64), np.zeros((total, VALUES - TREES), np.uint8)
         for i, j in _rows(off):
             keys = shingle_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
             row = np.append(np.searchsorted(keys, np.arange(j - i, dtype=U64) << U64(52)), len(keys))
@@ -82,7 +90,8 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 least = np.minimum.reduceat(x, begin)
                 if k < TREES:
                     tokens[i + some, k] = mix(least + U64(k))
-                values[i + some, k] = (mix(least) >> U64(48)).astype(np.uint16)
+                else:
+                    values[i + some, k - TREES] = mix(least) >> U64(56)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -90,94 +99,137 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 pa.array(one.view(np.int64)),
                 pa.array(two.view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(total + 1, dtype=np.int32) * TREES), pa.array(tokens.view(np.int64).ravel())),
-                pa.array([values[i].tobytes() for i in range(total)], pa.binary()),
+                pa.array([(tokens[i] >> U64(32)).astype(np.uint32).tobytes() + values[i].tobytes() for i in range(total)], pa.binary()),
             ],
             names=["doc_id", "n_shingles", "k1", "k2", "tokens", "sig"],
         )
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
+def _signatures(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of 32 bits and the other values, of eight."""
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 4 * TREES + VALUES - TREES)
+    return np.ascontiguousarray(rows[:, : 4 * TREES]).view(np.uint32), rows[:, 4 * TREES :]
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+def _agreement(a: tuple, b: tuple) -> np.ndarray:
+    """Share of equal values of rows."""
+    return ((a[0] == b[0]).sum(axis=-1) + (a[1] == b[1]).sum(axis=-1)) / VALUES
 
 
-def _estimate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             keep = _agreement(_signatures(batch.column("sig_a")), _signatures(batch.column("sig_b"))) >= RULED_OUT
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full sets are similar enough."""
-    for batch in batches:
-        (da, oa), (db, ob) = column_bytes(batch.column("text_a")), column_bytes(batch.column("text_b"))
-        keep = np.zeros(batch.num_rows, bool)
-        for i, j in _rows(oa + ob):
-            a = shingle_keys(da[oa[i] : oa[j]], oa[i : j + 1] - oa[i])
-            b = shingle_keys(db[ob[i] : ob[j]], ob[i : j + 1] - ob[i])
-            count = lambda keys: np.bincount((keys >> U64(52)).astype(np.int64), minlength=j - i)  # noqa: E731, B023
-            both = count(np.intersect1d(a, b, assume_unique=True))
-            keep[i:j] = (100 * both >= SIMILARITY_PERCENT * (count(a) + count(b) - both)) & (both > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of a small node's points, of different components, that an estimate doesn't rule out."""
-    ids, comp, side = (table.column(c).to_numpy() for c in ("doc", "comp", "side"))
-    sig = _signatures(table.column("sig").combine_chunks())
-    first, second = [], []
-    for i in range(len(ids)):
-        near = np.flatnonzero((comp != comp[i]) & ((ids > ids[i]) if not side.any() else (side > side[i])) & (_agreement(sig, sig[i]) >= RULED_OUT))
-        first += [ids[i]] * len(near)
-        second += ids[near].tolist()
-    return pa.table({"a": pa.array(first, pa.int64()), "b": pa.array(second, pa.int64())})
-
-
-def _sizes(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n > 1 AND lo <> hi").select("node", "n")
-
-
-def _mixed_pairs(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs of different components from nodes (node, doc, comp)."""
-    pairs = []
+def _with_partner(table: pa.Table) -> pa.Table:
+    """The points of a block that have a partner, of another component, that isn't ruled out."""
+    tree, comp, side = (table.column(c).to_numpy() for c in ("tree", "comp", "side"))
+    tokens, values = _signatures(table.column("sig"))
+    some = np.zeros(len(comp), bool)
+    for i in range(len(comp) - 1):
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))) + i + 1
+        if tree[i]:  # a pair that shares an earlier tree has been compared there
+            j = j[~(tokens[j, : tree[i]] == tokens[i, : tree[i]]).any(axis=1)]
+        near = j[_agreement((tokens[j], values[j]), (tokens[i], values[i])) >= RULED_OUT]
+        if len(near):
+            some[i] = True
+            some[near] = True
+    return table.select(["node", "doc", "comp", "side"]).filter(pa.array(some))
+
+
+def _linked(table: pa.Table) -> pa.Table:
+    """Links of a block by its full sets: as many as connect what is connected.
+
+    side 0: all with all; 1 and 2: with those of the other side."""
+    doc, comp, side = (table.column(c).to_numpy() for c in ("doc", "comp", "side"))
+    n = len(doc)
+    data, off = column_bytes(table.column("text"))
+    keys = [shingle_keys(data[off[i] : off[j]], off[i : j + 1] - off[i]) + (U64(i) << U64(52)) for i, j in _rows(off)]
+    keys = np.concatenate(keys)
+    row = (keys >> U64(52)).astype(np.int64)
+    size = np.bincount(row, minlength=n)
+    shared, column, count = np.unique(keys & U64(2**52 - 1), return_inverse=True, return_counts=True)
+    both = np.zeros((n, n), np.float32)
+    wanted = count > 1
+    place = np.cumsum(wanted) - 1
+    take = wanted[column]
+    row, column = row[take], place[column[take]]
+    for lo in range(0, int(wanted.sum()), 4096):
+        part = (column >= lo) & (column < lo + 4096)
+        x = np.zeros((n, 4096), np.float32)
+        x[row[part], column[part] - lo] = 1
+        both += x @ x.T
+    similar = (100 * both.astype(np.int64) >= SIMILARITY_PERCENT * (size[:, None] + size[None, :] - both.astype(np.int64))) & (both > 0)
+    similar &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(np.triu(similar, 1)), strict=True):
+        u, v = find(int(comp[i])), find(int(comp[j]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            a.append(int(doc[i]))
+            b.append(int(doc[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _mixed(nodes: DataFrame) -> DataFrame:
+    """Rows of nodes that hold more than one component, with the node's size."""
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("node", "n")
+    return nodes.join(sizes, "node")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Points of nodes, dealt to pairs of blocks of about BLOCK points."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select(
+        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
+        "tree",
+        "doc",
+        "comp",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+    )
+
+
+def _groups(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Groups (node, tree, doc, comp, side) that cover all pairs of different components of nodes (node, tree, doc, comp)."""
+    done = []
     for level in range(LEVELS + 1):
-        live = written(nodes.join(_sizes(nodes), "node"), "nodes")
-        small = live.filter(F.col("n") <= SMALL).join(sigs, "doc").select("node", "doc", "comp", F.lit(0).alias("side"), "sig")
-        pairs.append(small.groupBy("node").applyInArrow(_compare, "a long, b long"))
-        large = live.filter(F.col("n") > SMALL)
+        live = written(_mixed(nodes), "nodes")
+        large = live.filter(F.col("n") > BLOCK)
         if level == LEVELS or large.isEmpty():
+            done.append(_blocks(live))
             break
-        coordinates = range(TREES + BRANCHES * level, TREES + BRANCHES * (level + 1))
-        signed = large.join(sigs, "doc")
-        child = F.explode(F.array(*(F.xxhash64(F.lit(level), "node", F.lit(k), F.substring("sig", 2 * k + 1, 2)) for k in coordinates)))
-        nodes = signed.select("doc", "comp", child.alias("node"))
-    if level == LEVELS:  # what never came apart is compared block by block
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
-        placed = large.join(sigs, "doc").withColumns({"blocks": blocks, "own": own})
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        both = placed.select("*", other).select(
-            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"),
-            "doc",
-            "comp",
-            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-            "sig",
-        )
-        pairs.append(both.groupBy("node").applyInArrow(_compare, "a long, b long"))
-    out = pairs[0]
-    for more in pairs[1:]:
+        coordinates = [4 * TREES + BRANCHES * level + k for k in range(BRANCHES)]
+        branch = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("sig", k + 1, 1).alias("v")) for k in coordinates)))
+        child = large.join(sigs, "doc").select("node", "tree", "doc", "comp", "n", branch.alias("x")).select("node", "tree", "doc", "comp", "n", F.xxhash64("node", "x.k", "x.v").alias("child"))
+        child = written(child, "branches")
+        most = child.groupBy("node", "child").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("node").agg(F.max(F.col("c") / F.col("n")).alias("share"))
+        parted = most.filter(F.col("share") <= PARTED).select("node")
+        done.append(_blocks(live.join(parted, "node", "left_anti")))
+        nodes = child.join(parted, "node", "left_semi").select(F.col("child").alias("node"), "tree", "doc", "comp")
+    out = done[0]
+    for more in done[1:]:
         out = out.union(more)
-    return out.distinct()
+    return out
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    # joined with the node's least member last, so that equal ones stand together
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm_batches, "a long, b long")
+def _links(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Confirmed links of groups (node, doc, comp, side)."""
+    needed = groups.select(F.col("doc").alias("doc_id")).distinct()
+    # a sort-merge join at every size: a broadcast that only small inputs get would hide the cost of large ones
+    texts = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+    return groups.join(texts, "doc").groupBy("node").applyInArrow(_linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,28 +240,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(signed.select("doc_id", "n_shingles", "k1", "k2").join(groups, ["k1", "k2"], "left").select("doc_id", "n_shingles", "rep"), "members")
     reps = members.filter("n_shingles > 0 AND doc_id = rep").select(F.col("rep").alias("doc_id")).distinct()
     points = written(signed.filter("n_shingles > 0").join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "tokens", "sig"), "points")
+    forget(signed)
     sigs = points.select("doc", "sig")
-    nodes = points.select("doc", F.explode("tokens").alias("node"))
-    pivots = nodes.groupBy("node").agg(F.min("doc").alias("b"), F.count("*").alias("n")).filter("n > 1").select("node", "b")
-    live = written(nodes.join(pivots, "node"), "live")
+    nodes = points.select("doc", F.posexplode("tokens").alias("tree", "node"))
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    live = written(nodes.join(sizes, "node"), "live")
 
-    stars = live.select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
+    popular = live.groupBy("doc").agg(F.sum("n").alias("popular"))
+    pivots = live.join(popular, "doc").groupBy("node").agg(F.max(F.struct(F.col("popular"), (-F.col("doc")).alias("doc"))).alias("top")).select("node", (-F.col("top.doc")).alias("b"))
+    stars = live.join(pivots, "node").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
     a, b = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    likely = written(stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_estimate_batches, "a long, b long"), "stars")
-    needed = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(rows.join(needed(likely), "doc_id", "left_semi"), "texts")
-    links = written(_confirmed(likely, texts), "confirmed")
-    first = written(components(links), "components")
+    likely = written(stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely_batches, "a long, b long"), "stars")
+    # a pivot's members in groups of a block each, the pivot in every one of them
+    spread = likely.join(likely.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "b")
+    member = spread.select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("node"), F.col("a").alias("doc"), F.col("a").alias("comp"), F.lit(1).alias("side"))
+    pivot = spread.select("b", "blocks").distinct().select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("b", F.col("k").cast("long")).alias("node"), F.col("b").alias("doc"), F.col("b").alias("comp"), F.lit(2).alias("side"))
+    linked = written(_links(member.union(pivot), rows), "links")
+    first = written(components(linked), "components")
 
     of = first.select(F.col("node").alias("doc"), "component")
-    labelled = live.select("node", "doc").join(of, "doc", "left").select("node", "doc", F.coalesce("component", "doc").alias("comp"))
-    rest = written(_mixed_pairs(labelled, sigs), "rest")
+    labelled = live.filter(F.col("tree") < SECOND_TREES).join(of, "doc", "left").select("node", "tree", "doc", F.coalesce("component", "doc").alias("comp"))
+    rest = written(_groups(labelled, sigs).join(sigs, "doc").groupBy("node").applyInArrow(_with_partner, "node long, doc long, comp long, side int"), "rest")
+    forget(live, points)
     if not rest.isEmpty():
-        more = written(_confirmed(rest, rows.join(needed(rest), "doc_id", "left_semi")), "confirmed")
+        more = written(_links(rest, rows), "links")
         if not more.isEmpty():
-            stars_now = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            first = written(components(stars_now.union(more)), "components")
-    forget(texts, points, live, signed)
+            first = written(components(first.select("node", "component").filter("node <> component").union(more)), "components")
     final = first.select(F.col("node").alias("rep"), "component")
     return members.join(final, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "rep", "doc_id")).alias("kept")
