@@ -110,10 +110,14 @@ class Classifier:
         return [_bin(ratio, BINS[name]).alias(f"bin_{name}") for name, ratio in _ratios(self.lexicon).items()]
 
     def posterior(self) -> Column:
-        """array<double> in the order of DOMAINS, from the bins."""
-        logs = [F.lit(self.prior[d]) + sum((F.get(F.array(*map(F.lit, self.weights[d, name])), F.col(f"bin_{name}")) for name in BINS), F.lit(0.0)) for d in DOMAINS]
-        powers = F.transform(F.array(*logs), lambda x: F.exp(x))
-        return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, y: a + y))
+        """array<double> in the order of DOMAINS.  Lambdas bind the bins and the powers, so
+        that no later step of the plan computes them again for each use."""
+
+        def of(bins: Column) -> Column:
+            logs = [F.lit(self.prior[d]) + sum((F.get(F.array(*map(F.lit, self.weights[d, name])), bins[f"bin_{name}"]) for name in BINS), F.lit(0.0)) for d in DOMAINS]
+            return F.transform(F.array(F.array(*(F.exp(x) for x in logs))), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y)))[0]
+
+        return F.transform(F.array(F.struct(*self.binned())), of)[0]
 
 
 def _largest(m: list[list[float]]) -> float:
@@ -168,8 +172,8 @@ def fit_rates(known: DataFrame, targets: dict[str, float] = TARGETS) -> list[lis
     return steps
 
 
-def _known(docs: DataFrame, model: Classifier, *keep: Column | str) -> DataFrame:
-    return docs.select(*keep, tokens().alias("n_tokens"), *model.binned()).select(*([F.col(c) if isinstance(c, str) else c for c in keep]), "n_tokens", model.posterior().alias("p"))
+def _known(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
+    return docs.select(*keep, tokens().alias("n_tokens"), model.posterior().alias("p"))
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -192,7 +196,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     model = Classifier(docs, labels)
     known = written(_known(docs, model), "posteriors")
     steps = fit_rates(known, targets)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
-    rated = row.select("_row", "_id", *model.binned()).select("_row", "_id", model.posterior().alias("p"))
-    place = F.pmod(F.xxhash64(F.col("_id"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    return rated.filter(place < _rate(F.col("p"), steps)).select("_row.*")
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
+    kept = F.transform(F.array(model.posterior()), lambda p: place < _rate(p, steps))[0]
+    return docs.filter(kept)
