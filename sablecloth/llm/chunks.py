@@ -28,7 +28,7 @@ _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.b
 
 
 def pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(x, protocol=5))
 
 
 def unpack(b: bytes) -> object:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,11 +36,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Removes tables of written() that nothing reads any more."""
+    """Removes tables of written() that nothing reads any more.
+
+    Spark drops shuffle files once the driver has collected the plans that made
+    them, so the plans of earlier steps are collected too."""
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def parts(spark: SparkSession) -> int:

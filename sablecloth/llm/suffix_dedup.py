@@ -28,7 +28,7 @@ from .cluster import forget, parts, written
 from .suffix_array import common_prefixes, suffix_array
 from .textbytes import U64, mix
 
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 16
 SPAN = LENGTH - ANCHOR + 1
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 _NAMES = ["chunk", "bucket", "data", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -78,9 +78,9 @@ def _documents(chunk: c.Chunk, removed: np.ndarray, rows: np.ndarray) -> pa.Reco
 class Stretches:
     """Distinct stretches of a chunk around anchors that occur twice."""
 
-    def __init__(self, chunk: c.Chunk, repeated: np.ndarray):
+    def __init__(self, chunk: c.Chunk):
         a = Anchors(chunk)
-        keep = np.flatnonzero(np.isin(a.anchor[a.run], repeated))
+        keep = np.flatnonzero(np.unpackbits(chunk.more["repeated"], count=len(a.run)))
         self.first, self.last = a.at[a.run[keep]], a.at[a.stop[keep]] + LENGTH
         ids = np.array([LEAST if x is None else x for x in chunk.ids], np.int64)
         self.doc = ids[np.searchsorted(chunk.off, self.first, "right") - 1] if len(self.first) else np.zeros(0, np.int64)
@@ -157,14 +157,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         if not maybe.any():
             return
         part = chunk.part(np.flatnonzero(maybe))
-        part.more = {"anchors": np.unique(a.anchor[a.run[total >= 2]])}
-        s = Stretches(part, part.more["anchors"])
+        repeated = np.unique(a.anchor[a.run[total >= 2]])
+        own = Anchors(part)
+        part.more = {"repeated": np.packbits(np.isin(own.anchor[own.run], repeated))}  # a bit a stretch
+        s = Stretches(part)
         data = part.data
         questions = [(b, c.pack((s.size[i].tobytes(), s.least[i].tobytes(), data[_flat(s.begin[i], s.size[i])].tobytes()))) for b, i in s.shards(buckets)]
         yield _wide(c.rows_of(number, [(c.CONTENT, c.pack(part)), *questions]))
 
     def finish(number: int, part: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
-        s = Stretches(part, part.more["anchors"])
+        s = Stretches(part)
         strings = s.size - LENGTH + 1
         before = np.cumsum(strings) - strings
         least = np.empty(int(strings.sum()), np.int64)
