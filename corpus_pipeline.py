@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sablecloth.llm import byte_bpe, mixing, near_dedup, quality_classifier, secret_scans
 from sablecloth.llm.cluster import written
 
+#: Least similarity, in percent, of the near-duplicates that go.
+NEAR_PERCENT = 80
 #: Stages two to four fit models and draw statistics; SQL can't express the first.
 ORACLE_SQL = None
 
@@ -24,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return near_dedup.deduplicated(docs)
+    return near_dedup.deduplicated(docs, NEAR_PERCENT)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ answers with as many links as connect a group and no more.
 Recall: a pair of similarity s misses a tree of depth one with probability 1-s, so
 all 16 trees of round one with (1-s)^16, under 1e-13 at s = 0.85, and the eight of
 round two with 3e-7; each further level of a large node loses (1-s)^4.  The estimate loses a pair at the threshold with about 1e-6.
+At another threshold round two has as many trees, and a level as many branches, as keep those losses.
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; a text of fewer than five words is one shingle; rows of one doc_id are
@@ -27,6 +28,7 @@ component of its set's other documents or null.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +43,15 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 85
 #: Trees, and values of a signature; the first values are the trees' tokens.
 TREES, VALUES = 16, 256
-#: Estimated similarity below which a pair is ruled out: five standard errors under the threshold.
-RULED_OUT = 0.74
+#: Standard errors under the threshold at which the estimate rules a pair out.
+RULED_OUT_ERRORS = 5
 #: Points of a block, which are compared with one another; coordinates by which a larger node
 #: branches, and levels; the share of a node that one branch holds at most if branching parts it.
 BLOCK, BRANCHES, LEVELS, PARTED = 512, 4, 3, 0.3
 #: Trees of round two, which compares what round one left apart.
 SECOND_TREES = 8
+#: Similarity for which BRANCHES and SECOND_TREES are stated.
+STATED_PERCENT = 85
 _ODD = np.array([mix1(5000 + k) | 1 for k in range(VALUES)], dtype=U64)
 _SECOND = U64(0xA24BAED4963EE407)
 
@@ -59,6 +63,19 @@ def shingle_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return keyed_by_row(value, row)[0]
 
 
+def ruled_out(percent: int) -> float:
+    """Estimated similarity below which a pair is ruled out at a threshold."""
+    s = percent / 100
+    return s - RULED_OUT_ERRORS * math.sqrt(s * (1 - s) / VALUES)
+
+
+def _as_many(n: int, percent: int) -> int:
+    """Independent chances that lose a pair at this threshold as seldom as n do at STATED_PERCENT."""
+    if percent >= STATED_PERCENT:
+        return n
+    return math.ceil(n * math.log(1 - STATED_PERCENT / 100) / math.log(1 - percent / 100))
+
+
 def _rows(off: np.ndarray) -> Iterator[tuple[int, int]]:
     for i, j in slices(off, 1_000_000):
         for k in range(i, j, 4096):
@@ -116,14 +133,14 @@ def _agreement(a: tuple, b: tuple) -> np.ndarray:
     return ((a[0] == b[0]).sum(axis=-1) + (a[1] == b[1]).sum(axis=-1)) / VALUES
 
 
-def _likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _likely_batches(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keep = _agreement(_signatures(batch.column("sig_a")), _signatures(batch.column("sig_b"))) >= RULED_OUT
+            keep = _agreement(_signatures(batch.column("sig_a")), _signatures(batch.column("sig_b"))) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _with_partner(table: pa.Table) -> pa.Table:
+def _with_partner(table: pa.Table, least: float) -> pa.Table:
     """The points of a block that have a partner, of another component, that isn't ruled out."""
     tree, comp, side = (table.column(c).to_numpy() for c in ("tree", "comp", "side"))
     tokens, values = _signatures(table.column("sig"))
@@ -132,14 +149,14 @@ def _with_partner(table: pa.Table) -> pa.Table:
         j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((side[i + 1 :] != side[i]) | (side[i] == 0))) + i + 1
         if tree[i]:  # a pair that shares an earlier tree has been compared there
             j = j[~(tokens[j, : tree[i]] == tokens[i, : tree[i]]).any(axis=1)]
-        near = j[_agreement((tokens[j], values[j]), (tokens[i], values[i])) >= RULED_OUT]
+        near = j[_agreement((tokens[j], values[j]), (tokens[i], values[i])) >= least]
         if len(near):
             some[i] = True
             some[near] = True
     return table.select(["node", "doc", "comp", "side"]).filter(pa.array(some))
 
 
-def _linked(table: pa.Table) -> pa.Table:
+def _linked(table: pa.Table, percent: int) -> pa.Table:
     """Links of a block by its full sets: as many as connect what is connected.
 
     side 0: all with all; 1 and 2: with those of the other side."""
@@ -161,7 +178,7 @@ def _linked(table: pa.Table) -> pa.Table:
         x = np.zeros((n, 4096), np.float32)
         x[row[part], column[part] - lo] = 1
         both += x @ x.T
-    similar = (100 * both.astype(np.int64) >= SIMILARITY_PERCENT * (size[:, None] + size[None, :] - both.astype(np.int64))) & (both > 0)
+    similar = (100 * both.astype(np.int64) >= percent * (size[:, None] + size[None, :] - both.astype(np.int64))) & (both > 0)
     similar &= (side[:, None] != side[None, :]) | (side[:, None] == 0)
     root: dict[int, int] = {}
 
@@ -201,7 +218,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     )
 
 
-def _groups(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
+def _groups(nodes: DataFrame, sigs: DataFrame, branches: int) -> DataFrame:
     """Groups (node, tree, doc, comp, side) that cover all pairs of different components of nodes (node, tree, doc, comp)."""
     done = []
     for level in range(LEVELS + 1):
@@ -210,7 +227,7 @@ def _groups(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
         if level == LEVELS or large.isEmpty():
             done.append(_blocks(live))
             break
-        coordinates = [4 * TREES + BRANCHES * level + k for k in range(BRANCHES)]
+        coordinates = [4 * TREES + branches * level + k for k in range(branches)]
         branch = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.substring("sig", k + 1, 1).alias("v")) for k in coordinates)))
         child = large.join(sigs, "doc").select("node", "tree", "doc", "comp", "n", branch.alias("x")).select("node", "tree", "doc", "comp", "n", F.xxhash64("node", "x.k", "x.v").alias("child"))
         child = written(child, "branches")
@@ -224,16 +241,19 @@ def _groups(nodes: DataFrame, sigs: DataFrame) -> DataFrame:
     return out
 
 
-def _links(groups: DataFrame, rows: DataFrame) -> DataFrame:
+def _links(groups: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Confirmed links of groups (node, doc, comp, side)."""
     needed = groups.select(F.col("doc").alias("doc_id")).distinct()
     # a sort-merge join at every size: a broadcast that only small inputs get would hide the cost of large ones
     texts = rows.join(needed.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
-    return groups.join(texts, "doc").groupBy("node").applyInArrow(_linked, "a long, b long")
+    return groups.join(texts, "doc").groupBy("node").applyInArrow(lambda table: _linked(table, percent), "a long, b long")
+
 
+def near_duplicates(docs: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document; kept: the least of its component.
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document; kept: the least of its component."""
+    Documents whose sets have at least that similarity are linked."""
+    least, percent = ruled_out(similarity_percent), similarity_percent
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(rows.mapInArrow(_sign_batches, "doc_id long, n_shingles long, k1 long, k2 long, tokens array<long>, sig binary"), "signed")
     groups = signed.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -250,20 +270,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pivots = live.join(popular, "doc").groupBy("node").agg(F.max(F.struct(F.col("popular"), (-F.col("doc")).alias("doc"))).alias("top")).select("node", (-F.col("top.doc")).alias("b"))
     stars = live.join(pivots, "node").select(F.col("doc").alias("a"), "b").filter("a <> b").distinct()
     a, b = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
-    likely = written(stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_likely_batches, "a long, b long"), "stars")
+    likely = written(stars.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(lambda batches: _likely_batches(batches, least), "a long, b long"), "stars")
     # a pivot's members in groups of a block each, the pivot in every one of them
     spread = likely.join(likely.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "b")
     member = spread.select(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("blocks"))).alias("node"), F.col("a").alias("doc"), F.col("a").alias("comp"), F.lit(1).alias("side"))
     pivot = spread.select("b", "blocks").distinct().select("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("k")).select(F.xxhash64("b", F.col("k").cast("long")).alias("node"), F.col("b").alias("doc"), F.col("b").alias("comp"), F.lit(2).alias("side"))
-    linked = written(_links(member.union(pivot), rows), "links")
+    linked = written(_links(member.union(pivot), rows, percent), "links")
     first = written(components(linked), "components")
 
     of = first.select(F.col("node").alias("doc"), "component")
-    labelled = live.filter(F.col("tree") < SECOND_TREES).join(of, "doc", "left").select("node", "tree", "doc", F.coalesce("component", "doc").alias("comp"))
-    rest = written(_groups(labelled, sigs).join(sigs, "doc").groupBy("node").applyInArrow(_with_partner, "node long, doc long, comp long, side int"), "rest")
+    labelled = live.filter(F.col("tree") < _as_many(SECOND_TREES, percent)).join(of, "doc", "left").select("node", "tree", "doc", F.coalesce("component", "doc").alias("comp"))
+    rest = written(_groups(labelled, sigs, _as_many(BRANCHES, percent)).join(sigs, "doc").groupBy("node").applyInArrow(lambda table: _with_partner(table, least), "node long, doc long, comp long, side int"), "rest")
     forget(live, points)
     if not rest.isEmpty():
-        more = written(_links(rest, rows), "links")
+        more = written(_links(rest, rows, percent), "links")
         if not more.isEmpty():
             first = written(components(first.select("node", "component").filter("node <> component").union(more)), "components")
     final = first.select(F.col("node").alias("rep"), "component")
@@ -272,10 +292,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, similarity_percent: int = SIMILARITY_PERCENT) -> DataFrame:
     """The documents without near-duplicates, columns unchanged: of each component
     the document of least doc_id stays, once."""
-    judged = written(near_duplicates(docs), "judged")
+    judged = written(near_duplicates(docs, similarity_percent), "judged")
     gone = judged.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     repeated = judged.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")

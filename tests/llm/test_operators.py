@@ -214,6 +214,18 @@ def test_group_of_mutual_near_copies(spark):
     assert got == {i: root(i) for i in range(700)}
 
 
+def test_similarity_of_near_duplicates(spark):
+    """A pair at 0.82 goes in the pipeline and stays in op9; one at 0.78 stays in both."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"w{i}" for i in range(204)]  # 200 shingles, of which an edit inside takes five
+    edited = lambda n: [f"e{n}-{i}" if i % 10 == 5 and i < 10 * n else w for i, w in enumerate(base)]
+    other = lambda words: [f"{w}x" for w in words]
+    rows = [(0, base), (1, edited(4)), (2, other(base)), (3, other(edited(5)))]  # 180 of 220 and 175 of 225
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, frame, "").collect()} == {0, 2, 3}
+    assert {r.doc_id for r in near_dedup.deduplicated(frame).collect()} == {0, 1, 2, 3}
+
+
 def test_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "x"), (3, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.component_id) for r in near_dedup.near_duplicates(rows).collect())
