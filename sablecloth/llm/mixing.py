@@ -2,25 +2,31 @@
 
 A labelled table (quality and toxic marks of some documents) defines four domains.
 A naive-Bayes classifier over binned ratios and a learnt lexicon gives every
-document posteriors of the domains.  Then nonnegative rates r_d are fitted so that
-the expected tokens of each domain, sum r_d n_d p_dk, meet the targets: projected
-gradient steps on the relative squares, starting from 1.  The step is one over
-the largest eigenvalue of the Gram matrix of the documents whose rate isn't 0, so
-the error never grows.  A step needs a few sums of all documents; the rates are an
-expression of the posteriors and the steps so far.
-DataFrame functions only.
+document posteriors of the domains.  Documents of equal bins have equal posteriors
+and a common rate, so all documents are summed up once, as tokens of the cells of
+equal bins (a table of at most 960 rows), and rates are fitted to that table by
+projected gradient steps on the relative squares, starting from 1, with momentum
+that restarts when it stops helping.  rates() fits nonnegative rates r_d whose
+expected tokens of each domain, sum r_d n_d p_dk, meet the targets.  The steps end
+when the targets are met (CLOSE) or when the rates no longer move: then no rates
+meet the targets, and a warning names the shares that were reached.
+DataFrame functions only, but for the fit over the cells.
 
 The classifier is fitted on a bounded sample of labelled rows (FIT_DOCUMENTS, those
 of least hash); sums, posteriors and rates cover all documents.  Defined results:
 null and empty texts have no tokens and posteriors like any other; null labels
 teach nothing; repeated labels count as bad if one says so; without labels all
-domains are alike.  Repeated rows are rated one by one.  Extra columns are ignored.
+domains are alike, no rates meet the targets.
+Repeated rows are rated one by one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 FIT_DOCUMENTS = 4000
@@ -31,9 +37,11 @@ TARGETS = {"clean": 0.94, "toxic": 0.02, "low": 0.03, "low_toxic": 0.01}
 LEXICON, LEAST_SCORE = 64, 4.0
 #: Bounds of the bins of each ratio.
 BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.005, 0.05], "varied": [0.2, 0.4, 0.6, 0.8], "lexicon": [0.5, 1.5, 2.5]}
-#: Steps at most, the error relative to all tokens that ends them, and the tokens of
-#: the first domain that the targets ask for, relative to what there is.
-STEPS, CLOSE, HEADROOM = 16, 1e-4, 1.25
+#: The error relative to all tokens that ends the steps, and the tokens of the first
+#: domain that the targets of rates() ask for, relative to what there is.
+CLOSE, HEADROOM = 1e-4, 1.25
+#: Change of a rate in a step under which rates have settled; steps after which the fit gives up.
+SETTLED, MOST_STEPS = 1e-10, 500_000
 _WORD_GAP = "[\\x20\\x09-\\x0D.,;:!?]+"
 
 
@@ -41,29 +49,49 @@ def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def _words() -> Column:
+def _words(text: Column) -> Column:
     """Distinct words, lower-cased, without stops."""
-    return F.array_distinct(F.split(F.lower(_text()), _WORD_GAP))
+    return F.array_distinct(F.split(F.lower(text), _WORD_GAP))
 
 
-def _share(chars: str) -> Column:
-    return (F.length(_text()) - F.length(F.translate(_text(), chars, ""))) / F.greatest(F.length(_text()), F.lit(1))
+def _share(text: Column, chars: str) -> Column:
+    return (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
 
 
-def tokens() -> Column:
-    return F.regexp_count(_text(), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+def tokens(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _ratios(lexicon: list[str]) -> dict[str, Column]:
-    words = _words()
-    hits = F.size(F.array_intersect(words, F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
-    return {
-        "symbols": _share("#*$%&<>|"),
-        "upper": _share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "marks": _share("!?"),
-        "varied": F.size(words) / F.greatest(tokens(), F.lit(1)),
-        "lexicon": hits,
-    }
+def _measured(lexicon: list[str]) -> Column:
+    """struct<n_tokens, cell>: cell numbers the bins of all ratios.
+
+    Lambdas bind the text, its words and the ratios, so that none is computed again for each use."""
+    text = F.transform(F.array(_text()), lambda t: F.struct(t.alias("text"), _words(t).alias("words"), tokens(t).alias("n_tokens")))
+
+    def ratios(x: Column) -> Column:
+        hits = F.size(F.array_intersect(x["words"], F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
+        return F.struct(
+            x["n_tokens"].alias("n_tokens"),
+            _share(x["text"], "#*$%&<>|").alias("symbols"),
+            _share(x["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
+            _share(x["text"], "!?").alias("marks"),
+            (F.size(x["words"]) / F.greatest(x["n_tokens"], F.lit(1))).alias("varied"),
+            hits.alias("lexicon"),
+        )
+
+    def cell(x: Column) -> Column:
+        out = F.lit(0)
+        for name, bounds in BINS.items():
+            out = out * (len(bounds) + 1) + _bin(x[name], bounds)
+        return F.struct(x["n_tokens"].alias("n_tokens"), out.alias("cell"))
+
+    return F.transform(F.transform(text, ratios), cell)[0]
+
+
+def _bins_of_cells() -> dict[str, np.ndarray]:
+    """The bin of each ratio, by cell."""
+    sizes = [len(bounds) + 1 for bounds in BINS.values()]
+    return dict(zip(BINS, np.unravel_index(np.arange(math.prod(sizes)), sizes), strict=True))
 
 
 def _bin(ratio: Column, bounds: list[float]) -> Column:
@@ -91,12 +119,18 @@ class Classifier:
         self.lexicon: list[str] = []
         if n_toxic and n_other:
             toxic = F.col("domain").isin([d for d, (_, t) in DOMAINS.items() if t]).cast("int")
-            seen = marked.select(toxic.alias("t"), F.explode(_words()).alias("word")).groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
+            seen = marked.select(toxic.alias("t"), F.explode(_words(_text())).alias("word")).groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
             odds = F.log((F.col("a") + 0.5) / (F.lit(n_toxic) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n_other) - F.col("b") + 0.5))
             score = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
             self.lexicon = [r["word"] for r in seen.filter("word <> '' AND a >= 3").select("word", score.alias("score")).filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(LEXICON).collect()]
-        binned = marked.select("domain", *(_bin(ratio, BINS[name]).alias(name) for name, ratio in _ratios(self.lexicon).items()))
-        counts = {r["domain"]: r.asDict() for r in binned.groupBy("domain").agg(F.count("*").alias("n"), *(F.sum((F.col(name) == k).cast("int")).alias(f"{name}_{k}") for name, bounds in BINS.items() for k in range(len(bounds) + 1))).collect()}
+        of_cell = _bins_of_cells()
+        counts: dict[str, dict] = {}
+        for r in marked.select("domain", _measured(self.lexicon)["cell"].alias("cell")).groupBy("domain", "cell").count().collect():
+            c = counts.setdefault(r["domain"], {"n": 0})
+            c["n"] += r["count"]
+            for name in BINS:
+                key = f"{name}_{of_cell[name][r['cell']]}"
+                c[key] = c.get(key, 0) + r["count"]
         some = sum(c["n"] for c in counts.values())
         self.prior, self.weights = {}, {}
         for d in DOMAINS:
@@ -106,74 +140,73 @@ class Classifier:
                 size = len(bounds) + 1
                 self.weights[d, name] = [math.log((c.get(f"{name}_{k}", 0) + 0.5) / (c["n"] + 0.5 * size)) for k in range(size)]
 
-    def binned(self) -> list[Column]:
-        return [_bin(ratio, BINS[name]).alias(f"bin_{name}") for name, ratio in _ratios(self.lexicon).items()]
-
-    def posterior(self) -> Column:
-        """array<double> in the order of DOMAINS.  Lambdas bind the bins and the powers, so
-        that no later step of the plan computes them again for each use."""
-
-        def of(bins: Column) -> Column:
-            logs = [F.lit(self.prior[d]) + sum((F.get(F.array(*map(F.lit, self.weights[d, name])), bins[f"bin_{name}"]) for name in BINS), F.lit(0.0)) for d in DOMAINS]
-            return F.transform(F.array(F.array(*(F.exp(x) for x in logs))), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y)))[0]
-
-        return F.transform(F.array(F.struct(*self.binned())), of)[0]
+    def posterior(self) -> np.ndarray:
+        """By cell, in the order of DOMAINS."""
+        logs = np.array([sum((np.array(self.weights[d, name])[b] for name, b in _bins_of_cells().items()), self.prior[d]) for d in DOMAINS]).T
+        powers = np.exp(logs)
+        return powers / powers.sum(axis=1, keepdims=True)
+
+
+def _descend(n: np.ndarray, p: np.ndarray, by: np.ndarray, wanted: np.ndarray, unit: np.ndarray, most: float, one_sided: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Rates from 0 to most of cells of n tokens and posteriors p for which by @ sums is
+    wanted, and whether they meet it.  Errors count relative to unit; those that are
+    one-sided only if positive."""
+    some = n > 0  # documents without tokens stay at 1: no sum depends on them
+    rate = np.ones(len(n))
+    n, q = n[some], p[some] @ by.T / unit
+    top = np.linalg.eigvalsh(q.T @ (q * n[:, None]))[-1]
+    error: Callable[[np.ndarray], np.ndarray] = lambda r: (e := (r * n) @ q - wanted / unit) * ~(one_sided & (e < 0))
+    met: Callable[[np.ndarray], bool] = lambda r: bool(np.max(np.abs(error(r)) * unit) <= CLOSE * max((r * n).sum(), wanted.sum(), 1.0))
+    r = ahead = np.ones(len(n))
+    pace = 1.0
+    for _ in range(MOST_STEPS):
+        if met(r) or not top:
+            rate[some] = r
+            return rate, met(r)
+        new = np.clip(ahead - q @ error(ahead) / top, 0.0, most)
+        if np.max(np.abs(new - ahead)) < SETTLED:  # a step from there goes nowhere: the least squares
+            rate[some] = new
+            return rate, met(new)
+        if (n * (ahead - new) * (new - r)).sum() > 0:
+            ahead, pace = r, 1.0
+            continue
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        r, ahead, pace = new, new + (pace - 1) / faster * (new - r), faster
+    raise RuntimeError("rates didn't settle")
+
+
+def fit_rates(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS) -> np.ndarray:
+    """Nonnegative rates whose expected tokens meet the targets, by cell; n: tokens.
 
+    The sizes of the targets are set so that the first domain gets HEADROOM times its
+    tokens: its own documents then have rates of 1 or more."""
+    if not n.sum():
+        return np.ones(len(n))
+    share = np.array(list(targets.values()))
+    size = HEADROOM * (n @ p)[0] / share[0]
+    total = size * share
+    r, met = _descend(n, p, np.eye(len(share)), total, np.sqrt(np.maximum(total, max(1e-9 * size, 1e-9))), np.inf, np.zeros(len(share), bool))
+    if not met:
+        _warn(n, p, r, targets)
+    return r
 
-def _largest(m: list[list[float]]) -> float:
-    """The largest eigenvalue of a small symmetric matrix, by powers."""
-    v, top = [1.0] * len(m), 0.0
-    for _ in range(200):
-        w = [sum(a * b for a, b in zip(row, v, strict=True)) for row in m]
-        top = math.sqrt(sum(x * x for x in w))
-        if not top:
-            return 0.0
-        v = [x / top for x in w]
-    return top
 
+def _warn(n: np.ndarray, p: np.ndarray, r: np.ndarray, targets: dict[str, float]) -> None:
+    sums = (r * n) @ p
+    warnings.warn("the targets can't be met; shares reached: " + ", ".join(f"{d} {s:.4f} of {t:.4f}" for (d, t), s in zip(targets.items(), sums / max(sums.sum(), 1e-9), strict=True)), RuntimeWarning, stacklevel=3)
 
-def _rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate after some steps; each is projected to what isn't negative."""
-    if not steps:
-        return F.lit(1.0)
-    by = F.array(*(F.array(*map(F.lit, g)) for g in steps))
-    dot = lambda g: sum((p[k] * g[k] for k in range(1, len(DOMAINS))), p[0] * g[0])
-    return F.aggregate(by, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
+def _of_cell(values: np.ndarray, cell: Column) -> Column:
+    """The value of a cell; Spark folds the table into one constant."""
+    return F.get(F.expr(f"array({', '.join(f'{x!r}D' for x in values.tolist())})"), cell)
 
-def fit_rates(known: DataFrame, targets: dict[str, float] = TARGETS) -> list[list[float]]:
-    """Steps whose rates meet the targets.  known: n_tokens and p of all documents.
 
-    The sizes of the targets are set so that the first domain gets HEADROOM times its
-    tokens: its own documents then have rates of 1 or more."""
-    k = len(DOMAINS)
-    total, size = [0.0] * k, 0.0
-    steps: list[list[float]] = []
-    for _ in range(STEPS):
-        rated = known.select((F.col("n_tokens") * _rate(F.col("p"), steps)).alias("w"), "n_tokens", "p")
-        live = F.when(F.col("w") > 0, F.col("n_tokens")).otherwise(0)
-        sums = rated.agg(
-            *(F.sum(F.col("w") * F.col("p")[i]).alias(f"s{i}") for i in range(k)),
-            *(F.sum(live * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)),
-        ).first()
-        now = [sums[f"s{i}"] or 0.0 for i in range(k)]
-        if not steps:
-            size = HEADROOM * now[0] / list(targets.values())[0]
-            total = [size * t for t in targets.values()]
-        error = [a - b for a, b in zip(now, total, strict=True)]
-        if max(map(abs, error)) <= CLOSE * max(sum(total), 1.0):
-            break
-        unit = [math.sqrt(max(t, 1e-9 * size, 1e-9)) for t in total]
-        m = [[(sums[f"m{min(i, j)}_{max(i, j)}"] or 0.0) / (unit[i] * unit[j]) for j in range(k)] for i in range(k)]
-        top = _largest(m)
-        if not top:
-            break
-        steps.append([e / (u * u * top) for e, u in zip(error, unit, strict=True)])
-    return steps
-
-
-def _known(docs: DataFrame, model: Classifier, *keep: str) -> DataFrame:
-    return docs.select(*keep, tokens().alias("n_tokens"), model.posterior().alias("p"))
+def _tokens_by_cell(rows: DataFrame) -> np.ndarray:
+    """Tokens of all rows (n_tokens, cell): one row a cell reaches the driver."""
+    out = np.zeros(math.prod(len(bounds) + 1 for bounds in BINS.values()))
+    for r in rows.groupBy("cell").agg(F.sum("n_tokens").alias("n")).collect():
+        out[r["cell"]] = r["n"]
+    return out
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -181,21 +214,19 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     from .cluster import written
 
     model = Classifier(docs, labels)
-    known = written(_known(docs, model, "doc_id"), "posteriors")
-    steps = fit_rates(known, targets)
+    known = written(docs.select("doc_id", _measured(model.lexicon).alias("m")).select("doc_id", "m.n_tokens", "m.cell"), "cells")
+    p = model.posterior()
+    rate = fit_rates(_tokens_by_cell(known), p, targets)
     names = F.array(*map(F.lit, DOMAINS))
-    best = F.get(names, (F.array_position("p", F.array_max("p")) - 1).cast("int"))
-    return known.select("doc_id", "n_tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), best.alias("domain"), _rate(F.col("p"), steps).alias("rate"))
+    best = F.get(names, _of_cell(p.argmax(axis=1).astype(float), F.col("cell")).cast("int"))
+    return known.select("doc_id", "n_tokens", *(_of_cell(p[:, i], F.col("cell")).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), best.alias("domain"), _of_cell(rate, F.col("cell")).alias("rate"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The documents that the rates keep, columns unchanged: all of rate 1 or more,
-    of the others a share that equals their rate, by a hash of the doc_id."""
-    from .cluster import written
-
+    """The documents that the rates keep, columns unchanged: of each cell a share that
+    equals its rate, by a hash of the doc_id."""
     model = Classifier(docs, labels)
-    known = written(_known(docs, model), "posteriors")
-    steps = fit_rates(known, targets)
+    n = _tokens_by_cell(docs.select(_measured(model.lexicon).alias("m")).select("m.n_tokens", "m.cell"))
+    rate = fit_rates(n, model.posterior(), targets)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    kept = F.transform(F.array(model.posterior()), lambda p: place < _rate(p, steps))[0]
-    return docs.filter(kept)
+    return docs.filter(place < _of_cell(rate, _measured(model.lexicon)["cell"]))

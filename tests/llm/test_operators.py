@@ -295,6 +295,38 @@ def test_mixing(spark, empty):
     assert mixing.rates(empty, labels).count() == 0
     assert mixing.rates(frame.select("doc_id", "text"), labels.limit(0)).count() == 300
 
+def _labelled(spark, n: int, size: int, shares: dict[str, float]):
+    """n documents of about size words in domains of these shares, and their labels."""
+    rand = np.random.default_rng(12)
+    vocabulary = ["".join(rand.choice(list("aeinorst"), rand.integers(2, 8))) for _ in range(500)]
+    rows = []
+    for i, d in enumerate(rand.choice(list(shares), n, p=list(shares.values()))):
+        quality, toxic = mixing.DOMAINS[d]
+        text = [w if quality else f"{w}***" for w in rand.choice(vocabulary, size)] + ["moron", "trash"] * toxic
+        rows.append((i, " ".join(text), quality, toxic))
+    return spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+
+
+SHARES = {"clean": 0.76, "toxic": 0.107, "low": 0.081, "low_toxic": 0.052}
+
+
+def test_rates_meet_the_targets(spark):
+    frame = _labelled(spark, 1500, 30, SHARES)
+    got = mixing.rates(frame.select("doc_id", "text"), frame.select("doc_id", "quality", "toxic")).collect()
+    total = {d: sum(r.rate * r.n_tokens * r[f"p_{d}"] for r in got) for d in mixing.DOMAINS}
+    size = mixing.HEADROOM * sum(r.n_tokens * r.p_clean for r in got) / mixing.TARGETS["clean"]
+    assert all(abs(total[d] - size * mixing.TARGETS[d]) < 2e-4 * size for d in mixing.DOMAINS)
+
+
+def test_blurred_posteriors_meet_the_targets_or_say_so():
+    rand = np.random.default_rng(13)
+    n = rand.integers(1, 10_000, 300).astype(float)
+    p = rand.dirichlet([2.5, 0.4, 0.3, 0.2], 300)
+    sums = (mixing.fit_rates(n, p) * n) @ p
+    assert np.abs(sums / sums.sum() - list(mixing.TARGETS.values())).max() < 2e-4
+    with pytest.warns(RuntimeWarning, match="can't be met"):
+        mixing.fit_rates(n, np.full((300, 4), 0.25))
+
 
 def test_byte_bpe(docs, texts, empty, clashing):
     public = pytest.importorskip("public_tokenizers")
