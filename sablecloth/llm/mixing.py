@@ -7,7 +7,8 @@ and a common rate, so all documents are summed up once, as tokens of the cells o
 equal bins (a table of at most 960 rows), and rates are fitted to that table by
 projected gradient steps on the relative squares, starting from 1, with momentum
 that restarts when it stops helping.  rates() fits nonnegative rates r_d whose
-expected tokens of each domain, sum r_d n_d p_dk, meet the targets.  The steps end
+expected tokens of each domain, sum r_d n_d p_dk, meet the targets; mixed() can
+keep a document once at most, so its rates are held between 0 and 1.  The steps end
 when the targets are met (CLOSE) or when the rates no longer move: then no rates
 meet the targets, and a warning names the shares that were reached.
 DataFrame functions only, but for the fit over the cells.
@@ -16,7 +17,7 @@ The classifier is fitted on a bounded sample of labelled rows (FIT_DOCUMENTS, th
 of least hash); sums, posteriors and rates cover all documents.  Defined results:
 null and empty texts have no tokens and posteriors like any other; null labels
 teach nothing; repeated labels count as bad if one says so; without labels all
-domains are alike, no rates meet the targets.
+domains are alike, no rates meet the targets, and mixed() keeps everything.
 Repeated rows are rated one by one.  Extra columns are ignored.
 """
 
@@ -42,6 +43,8 @@ BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.0
 CLOSE, HEADROOM = 1e-4, 1.25
 #: Change of a rate in a step under which rates have settled; steps after which the fit gives up.
 SETTLED, MOST_STEPS = 1e-10, 500_000
+#: Kept share of all tokens under which nothing meets the targets.
+NOTHING = 1e-6
 _WORD_GAP = "[\\x20\\x09-\\x0D.,;:!?]+"
 
 
@@ -191,6 +194,33 @@ def fit_rates(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS)
     return r
 
 
+def fit_kept(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS) -> np.ndarray:
+    """Rates between 0 and 1 whose expected tokens are in the proportions of the targets, by cell.
+
+    Every domain is held against the first, so documents that are surely of the first
+    have a rate of 1.  A domain with fewer tokens than its proportion asks for keeps
+    them all, rather than that the first gives way.  If no documents at all are in the
+    proportions, rates come as close as they can to the first domain's tokens and the
+    others' due; posteriors that are all alike say nothing, and everything stays."""
+    if not n.sum():
+        return np.ones(len(n))
+    if np.ptp(p, axis=0).max() < 1e-9:
+        _warn(n, p, np.ones(len(n)), targets)
+        return np.ones(len(n))
+    share = np.array(list(targets.values()))
+    by = np.eye(len(share))[1:]
+    by[:, 0] = -share[1:] / share[0]
+    scarce = by @ (n @ p) < 0
+    unit = np.sqrt(np.maximum(share[1:], 1e-9) * n.sum())
+    r, met = _descend(n, p, by, np.zeros(len(share) - 1), unit, 1.0, scarce)
+    if not met or (r * n).sum() <= NOTHING * n.sum():
+        total = (n @ p)[0] / share[0] * share
+        r, met = _descend(n, p, np.eye(len(share)), total, np.sqrt(np.maximum(total, 1e-9 * n.sum())), 1.0, np.zeros(len(share), bool))
+    if scarce.any() or not met:
+        _warn(n, p, r, targets)
+    return r
+
+
 def _warn(n: np.ndarray, p: np.ndarray, r: np.ndarray, targets: dict[str, float]) -> None:
     sums = (r * n) @ p
     warnings.warn("the targets can't be met; shares reached: " + ", ".join(f"{d} {s:.4f} of {t:.4f}" for (d, t), s in zip(targets.items(), sums / max(sums.sum(), 1e-9), strict=True)), RuntimeWarning, stacklevel=3)
@@ -227,6 +257,6 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     equals its rate, by a hash of the doc_id."""
     model = Classifier(docs, labels)
     n = _tokens_by_cell(docs.select(_measured(model.lexicon).alias("m")).select("m.n_tokens", "m.cell"))
-    rate = fit_rates(n, model.posterior(), targets)
+    rate = fit_kept(n, model.posterior(), targets)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
     return docs.filter(place < _of_cell(rate, _measured(model.lexicon)["cell"]))

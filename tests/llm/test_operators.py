@@ -328,6 +328,25 @@ def test_blurred_posteriors_meet_the_targets_or_say_so():
         mixing.fit_rates(n, np.full((300, 4), 0.25))
 
 
+def test_mixed_keeps_the_target_shares(spark):
+    frame = _labelled(spark, 20_000, 15, SHARES)
+    kept = mixing.mixed(frame.select("doc_id", "text"), frame.select("doc_id", "quality", "toxic")).join(frame.select("doc_id", "quality", "toxic"), "doc_id").collect()
+    size = {d: sum(len(r.text.split()) for r in kept if (r.quality, r.toxic) == m) for d, m in mixing.DOMAINS.items()}
+    assert all(abs(size[d] / sum(size.values()) / t - 1) < 0.12 for d, t in mixing.TARGETS.items())
+
+
+def test_rates_of_documents_kept_once():
+    rand = np.random.default_rng(14)
+    n = rand.integers(1, 10_000, 300).astype(float)
+    p = rand.dirichlet([2.5, 0.4, 0.3, 0.2], 300)
+    rate = mixing.fit_kept(n, p)
+    sums = (rate * n) @ p
+    assert rate.min() >= 0 and rate.max() <= 1 and np.abs(sums / sums.sum() - list(mixing.TARGETS.values())).max() < 2e-4
+    few = np.array([[1.0, 0, 0, 0]] * 299 + [[0, 1, 0, 0]])
+    with pytest.warns(RuntimeWarning, match="can't be met"):
+        assert (mixing.fit_kept(np.ones(300), few) == 1).all()  # one toxic token of 300 stays, and so does what is clean
+
+
 def test_byte_bpe(docs, texts, empty, clashing):
     public = pytest.importorskip("public_tokenizers")
     tiktoken = pytest.importorskip("tiktoken")
