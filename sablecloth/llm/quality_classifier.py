@@ -4,8 +4,8 @@ A document is a bag of passages of 64 words.  Every passage is encoded by a smal
 network, a gate weighs the passages (softmax of w . tanh(Vh) * sigmoid(Uh)), and
 the weighted mean is scored.  Labels exist for documents only; the gate learns
 which passages decide them.  The model is fitted with numpy on the driver over a
-bounded sample of labelled rows (FIT_DOCUMENTS, the rows of least hash); scoring
-runs over all documents.  Only the text is an input.
+bounded sample of labelled rows (FIT_DOCUMENTS, the rows of least hash), with all
+passages of each (18 numbers for 64 words); scoring runs over all documents.  Only the text is an input.
 
 Defined results: a null or empty text is one empty passage and gets a score;
 labels that are null or whose document is missing teach nothing; repeated labels
@@ -25,8 +25,6 @@ from .textbytes import U64, column_bytes, hash_spans, padded, prefix, slices, wo
 
 #: Most labelled documents that the fit collects; larger inputs are sampled down to it.
 FIT_DOCUMENTS = 6000
-#: Most passages of one document that the fit uses; scoring always uses all.
-FIT_PASSAGES = 24
 PASSAGE_WORDS = 64
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE = 24, 12, 30, 128, 0.01
@@ -144,7 +142,7 @@ def _passage_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         blobs: list[bytes] = []
         for i, j in slices(off):
             x, at = passages(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            blobs += [x[at[k] : min(at[k + 1], at[k] + FIT_PASSAGES)].astype(np.float32).tobytes() for k in range(j - i)]
+            blobs += [x[at[k] : at[k + 1]].astype(np.float32).tobytes() for k in range(j - i)]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(blobs, pa.binary())], names=["label", "x"])
 
 

@@ -256,6 +256,16 @@ def test_classifier(spark, clashing, empty):
     assert {r.score for r in quality_classifier.score(clashing.select("doc_id", "text"), labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_sees_the_ends_of_long_documents(spark):
+    """Documents that differ after word 1,600 only."""
+    rand = np.random.default_rng(15)
+    vocabulary = np.array(["".join(rand.choice(list("aeinorst"), rand.integers(2, 8))) for _ in range(500)])
+    rows = [(i, " ".join([*rand.choice(vocabulary, 1600), *(w if i % 2 else f"{w}***" for w in rand.choice(vocabulary, 400))]), i % 2) for i in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    got = quality_classifier.score(frame.select("doc_id", "text"), frame.select("doc_id", "quality")).filter(quality_classifier.held_out(F.col("doc_id"))).collect()
+    assert len(got) > 20 and np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
 def test_gradient_of_the_classifier():
     rand = np.random.default_rng(6)
     x, at, y = rand.normal(size=(9, quality_classifier.FEATURES)), np.array([0, 2, 3, 9]), np.array([1.0, 0, 1])
