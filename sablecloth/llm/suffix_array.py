@@ -7,7 +7,8 @@ induces the suffixes of type L, and a pass back those of type S.  A symbol's que
 holds the positions that earlier symbols have sent to it, in their final order;
 its tuples are taken out in batches, each of which sends the predecessors on to
 their symbols' queues.  Queues beyond a budget go to a temporary file that has no
-name, so memory stays bounded however large the shard is.
+name.  Only they do: the text, the types, the positions taken and the result stay in
+memory, so a shard must fit it (see suffix_dedup.answer_shard).
 """
 
 from __future__ import annotations
