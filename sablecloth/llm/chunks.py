@@ -1,11 +1,11 @@
 """Questions from chunks of documents to buckets of a hash space, and answers.
 
 Documents are gathered into chunks of about two megabytes, held compressed in one
-row.  A chunk asks each bucket once, with all it wants to know there in one packed
-row, so what is shuffled is a few bytes a question and a key that is everywhere
-arrives once a chunk, not once a document.  Buckets answer in the order of the
-questions; the answers go back to the chunks.  Rows: (chunk, bucket, data), with
-bucket CONTENT for a chunk's documents.
+row of a bucketed table.  A chunk asks each bucket once, with all it wants to know there
+in one packed row, so what is shuffled is a few bytes a question and a key that is
+everywhere arrives once a chunk, not once a document.  Buckets answer in the order of
+the questions; the answers go back to the chunks, which stay where they are.  Rows:
+(chunk, bucket, data), with bucket STATE for what a chunk keeps for its next step.
 """
 
 from __future__ import annotations
@@ -18,17 +18,20 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from .cluster import written_in_buckets
 from .textbytes import U64, column_bytes
 
 CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 4096
-CONTENT = -1
+STATE = -1
 SCHEMA = "chunk long, bucket int, data binary"
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
 def pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=5).compress(pickle.dumps(x, protocol=5))
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
 
 
 def unpack(b: bytes) -> object:
@@ -85,18 +88,32 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield Chunk(ids, texts)
 
 
-def gather(docs: DataFrame, ask: Callable[[Chunk], list[tuple[int, bytes]]]) -> DataFrame:
-    """Chunks of all documents and their first questions."""
+def gather(docs: DataFrame, name: str) -> DataFrame:
+    """A table (home, chunk, data) of the chunks of all documents, in the shared folder.
+
+    Its files are buckets by home, the task that made a chunk, so that later steps
+    bring answers to the chunks and never shuffle the documents again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
+        home, k = task.partitionId() if task else 0, 0
         for chunk in _gathered(batches):
-            yield rows_of(number, [(CONTENT, pack(chunk)), *ask(chunk)])
-            number += 1
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([(home << 32) + k], pa.int64()), pa.array([pack(chunk)], pa.binary())], names=["home", "chunk", "data"])
+            k += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return written_in_buckets(rows.mapInArrow(run, "home long, chunk long, data binary"), name, "home")
+
+
+def asking(content: DataFrame, ask: Callable[[Chunk], list[tuple[int, bytes]]]) -> DataFrame:
+    """The first questions of all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield rows_of(batch.column("chunk")[i].as_py(), ask(unpack(batch.column("data")[i].as_py())))
+
+    return content.select("chunk", "data").mapInArrow(run, SCHEMA)
 
 
 def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -105,23 +122,28 @@ def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
     def run(table: pa.Table) -> pa.Table:
         return pa.table([table.column("chunk"), table.column("bucket"), pa.array(answer(table.column("data").to_pylist()), pa.binary())], schema=_ARROW)
 
-    return rows.filter(F.col("bucket") != CONTENT).groupBy("bucket").applyInArrow(run, SCHEMA)
+    return rows.filter(F.col("bucket") != STATE).groupBy("bucket").applyInArrow(run, SCHEMA)
 
 
-def returned(rows: DataFrame, answers: list[DataFrame], use: Callable, schema: str) -> DataFrame:
-    """use(chunk number, Chunk, [answers by bucket]) yields record batches for every chunk."""
-    content, n = rows.filter(F.col("bucket") == CONTENT).select("chunk", "data"), len(answers)
-    for k, a in enumerate(answers):
-        gathered = a.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "data")).alias(f"a{k}"))
-        content = content.join(gathered, "chunk", "left")
+def returned(content: DataFrame, told: list[DataFrame], use: Callable, schema: str) -> DataFrame:
+    """use(chunk number, Chunk, [answers by bucket]) yields record batches for every chunk.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                told = [{x["bucket"]: x["data"] for x in batch.column(f"a{k}")[i].as_py() or ()} for k in range(n)]
-                yield from use(batch.column("chunk")[i].as_py(), unpack(batch.column("data")[i].as_py()), told)
+    A group is what one task gathered: its size is that of a split of the input."""
+    every, n, to_arrow = None, len(told), to_arrow_schema(StructType.fromDDL(schema))
+    for k, rows in enumerate(told):
+        rows = rows.select(F.shiftright("chunk", 32).alias("home"), "chunk", "bucket", "data", F.lit(k).alias("k"))
+        every = rows if every is None else every.union(rows)
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        known: dict[int, list[dict[int, bytes]]] = {}
+        for chunk, bucket, data, k in zip(*(answers.column(x).to_pylist() for x in ("chunk", "bucket", "data", "k")), strict=True):
+            known.setdefault(chunk, [{} for _ in range(n)])[k][bucket] = data
+        out = []
+        for chunk, data in zip(own.column("chunk"), own.column("data"), strict=True):
+            out += use(chunk.as_py(), unpack(data.as_py()), known.get(chunk.as_py()) or [{} for _ in range(n)])
+        return pa.Table.from_batches(out, None if out else to_arrow)
 
-    return content.mapInArrow(run, schema)
+    return content.groupBy("home").cogroup(every.groupBy("home")).applyInArrow(run, schema)
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:

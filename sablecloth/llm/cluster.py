@@ -35,6 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like written(), with files by hash of a key: joins by that key needn't shuffle the rows."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.write.format("parquet").option("path", path).bucketBy(parts(spark), key).sortBy(key).saveAsTable(table)
+    out = spark.table(table)
+    out.written_to = path
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Removes tables of written() that nothing reads any more.
 

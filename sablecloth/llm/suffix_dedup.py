@@ -2,12 +2,17 @@
 
 Which strings of 50 bytes occur elsewhere is decided by suffix arrays of shards.
 A shard must see all copies of a string, and no more text than needed.  So the
-least of the hashed 20-byte runs of a string is its anchor; Spark counts anchors,
-and only stretches of text around anchors that occur twice go to shards, each to
-the shard of its anchor's hash, equal stretches of a chunk once, with the least
-doc_id.  The shard sorts the suffixes of all its stretches by induced sorting (see
-suffix_array), and suffixes that share their first 50 bytes are copies: each group
-answers with its least doc_id.  Copies in documents of a larger doc_id are removed.
+least of the hashed 24-byte runs of a string is its anchor; Spark counts in how many
+documents an anchor stands, and only stretches of text around anchors of two documents
+go to shards, each to the shard of its anchor, equal stretches of a chunk once.
+An anchor of very many documents (HOT_DOCUMENTS) is split: its strings go one by one,
+each to the shard of its own hash, where its copies go too.  A shard writes what
+arrives to disk and sorts the strings' suffixes by external induced sorting (see
+suffix_array); suffixes with 50 bytes in common are copies.  What stands in a larger
+document than a group's least is sent back as runs of places, and removed.
+
+Documents are written once, in compressed chunks; chunks, anchors, stretches and runs
+of places are all that is shuffled.
 
 Defined results: a null text is empty; documents of equal doc_id don't remove each
 other's strings; a null doc_id comes before all others; the digest of nothing is
@@ -17,29 +22,29 @@ that of the empty string.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as c
 from .cluster import forget, parts, written
-from .suffix_array import common_prefixes, suffix_array
-from .textbytes import U64, mix
+from .suffix_array import BUDGET, Queue, Store, sort_suffixes
+from .textbytes import U64, mix, prefix
 
-LENGTH, ANCHOR = 50, 16
+LENGTH, ANCHOR = 50, 24
 SPAN = LENGTH - ANCHOR + 1
+#: Documents from which on an anchor's strings are dealt out one by one.
+HOT_DOCUMENTS = 10_000
+#: Strings of a stretch at most, so that its size fits a byte.
+MOST_STRINGS = 150
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-_NAMES = ["chunk", "bucket", "data", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 _BYTES = mix(np.arange(1, 257, dtype=U64))
 #: Stands for a null doc_id.
 LEAST = -(2**63)
-
-
-def _wide(batch: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(x) if x in batch.schema.names else pa.nulls(batch.num_rows, k) for x, k in zip(_NAMES, _KINDS, strict=True)], names=_NAMES)
+_NO_DOCUMENT = 2**63 - 1
 
 
 class Anchors:
@@ -50,49 +55,26 @@ class Anchors:
         self.roll = c.Rolling(_BYTES[data])
         least = c.sliding_min(self.roll.windows(ANCHOR), SPAN)
         self.at = np.flatnonzero(c.starts_within(chunk.off, len(data), LENGTH)[: len(least)]) if len(least) else np.zeros(0, np.int64)
-        self.anchor = least[self.at]
+        anchor = least[self.at]
         new = np.ones(len(self.at), bool)
-        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.at[1:] != self.at[:-1] + 1)
-        self.run = np.flatnonzero(new)  # strings that follow one another and share an anchor
+        new[1:] = (anchor[1:] != anchor[:-1]) | (self.at[1:] != self.at[:-1] + 1)
+        run = np.flatnonzero(new)  # strings that follow one another and share an anchor
+        within = np.arange(len(new)) - np.repeat(run, np.diff(np.append(run, len(new))))
+        self.run = np.flatnonzero(within % MOST_STRINGS == 0)  # text that repeats itself may share one for long
         self.stop = np.append(self.run[1:], len(self.at)) - 1
-        keys, self.place, self.count = np.unique(self.anchor[self.run], return_inverse=True, return_counts=True)
-        self.keys = keys & U64(2**48 - 1)  # six bytes are asked for: what they confuse is sorted out by the shards
-        order = np.argsort(self.keys, kind="stable")
-        self.sorted, self.back = order, np.argsort(order, kind="stable")
-
-
-def _documents(chunk: c.Chunk, removed: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-    n_removed, n_spans, digests = [], [], []
-    data = chunk.data
-    for i in rows:
-        lo, hi = chunk.off[i], chunk.off[i + 1]
-        gone = removed[lo:hi]
-        n = int(gone.sum())
-        n_removed.append(n)
-        n_spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if n else 0)
-        digests.append(hashlib.sha256(data[lo:hi][~gone].tobytes() if n else chunk.text(i)).hexdigest())
-    size = np.diff(chunk.off)[rows]
-    return pa.RecordBatch.from_arrays([pa.array([chunk.ids[i] for i in rows], pa.int64()), pa.array(size, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string())], names=_NAMES[3:])
-
-
-class Stretches:
-    """Distinct stretches of a chunk around anchors that occur twice."""
+        self.anchor = anchor[self.run] & U64(2**48 - 1)  # six bytes are asked for: what they confuse is sorted out by the shards
+        self.doc = np.searchsorted(chunk.off, self.at[self.run], "right") - 1 if len(self.run) else np.zeros(0, np.int64)
 
-    def __init__(self, chunk: c.Chunk):
-        a = Anchors(chunk)
-        keep = np.flatnonzero(np.unpackbits(chunk.more["repeated"], count=len(a.run)))
-        self.first, self.last = a.at[a.run[keep]], a.at[a.stop[keep]] + LENGTH
-        ids = np.array([LEAST if x is None else x for x in chunk.ids], np.int64)
-        self.doc = ids[np.searchsorted(chunk.off, self.first, "right") - 1] if len(self.first) else np.zeros(0, np.int64)
-        text = a.roll.runs(self.first, self.last)
-        self.keys, head, self.place = np.unique(text, return_index=True, return_inverse=True)
-        self.anchor = a.anchor[a.run[keep]][head]
-        self.begin, self.size = self.first[head], (self.last - self.first)[head]
-        self.least = np.full(len(self.keys), 2**63 - 1)
-        np.minimum.at(self.least, self.place, self.doc)
-
-    def shards(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-        return c.by_bucket(self.anchor, buckets)
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchors, sorted, and the documents of the chunk that hold each."""
+        order = np.argsort(self.anchor, kind="stable")  # documents stay in order within an anchor
+        a, d = self.anchor[order], self.doc[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        other = new.copy()
+        other[1:] |= d[1:] != d[:-1]
+        at = np.flatnonzero(new)
+        return a[at], np.add.reduceat(other.astype(np.int64), at) if len(at) else at
 
 
 def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -101,87 +83,216 @@ def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(before - start, size)
 
 
-def answer_shard(asked: list[bytes]) -> list[bytes]:
-    """For each string of each stretch, the least doc_id in which it occurs.
-
-    The whole shard is held in memory, at about 59 bytes a byte of its stretches."""
-    parts_ = [unpacked for x in asked for unpacked in [c.unpack(x)]]
-    size = np.concatenate([np.frombuffer(p[0], np.int64) for p in parts_])
-    least = np.concatenate([np.frombuffer(p[1], np.int64) for p in parts_])
-    raw = b"".join(p[2] for p in parts_)
-    begin = np.cumsum(size) - size
-    # equal stretches of different chunks are sorted once
-    seen: dict[bytes, int] = {}
-    place = np.array([seen.setdefault(raw[b : b + s], len(seen)) for b, s in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
-    docs = np.full(len(seen), 2**63 - 1)
-    np.minimum.at(docs, place, least)
-    texts = list(seen)
-    own = np.array([len(x) for x in texts], np.int64)
-    at = np.cumsum(own + 1) - own - 1
-    data = np.frombuffer(b"\0".join(texts) + bytes(9), np.uint8)
-    symbols = data[: int(at[-1] + own[-1]) + 1].astype(np.uint16) + 1
-    symbols[at + own] = 0
-    order = suffix_array(symbols, LENGTH)
-    valid = np.full(len(symbols), -1, np.int64)
-    starts = _flat(at, own - LENGTH + 1)
-    valid[starts] = np.repeat(np.arange(len(own)), own - LENGTH + 1)
-    order = order[valid[order] >= 0]
-    same = common_prefixes(data, order, LENGTH)
-    group = np.cumsum(~same) - 1
-    found = np.minimum.reduceat(docs[valid[order]], np.flatnonzero(~same))
-    by_start = np.empty(len(symbols), np.int64)
-    by_start[order] = found[group]
-    out, k = [], 0
-    for p in parts_:
-        n = len(p[0]) // 8
-        mine = place[k : k + n]
-        out.append(c.pack(by_start[_flat(at[mine], own[mine] - LENGTH + 1)].tobytes()))
-        k += n
+def answer_anchors(asked: list[bytes]) -> list[bytes]:
+    """Of each anchor: 0 for one document, 1 for more, 2 for HOT_DOCUMENTS or more."""
+    out = []
+    for total in c.answer_counts(asked):
+        n = np.frombuffer(c.unpack(total), np.uint32)
+        out.append(c.pack(((n > 1).astype(np.uint8) + (n >= HOT_DOCUMENTS)).tobytes()))
+    return out
+
+
+def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tuple[int, bytes]]:
+    """The chunk's stretches, by shard: texts, and who has them where."""
+    a = Anchors(chunk)
+    keys, _ = a.counted()
+    kind = np.zeros(len(keys), np.uint8)
+    for b, at in c.by_bucket(keys, buckets):
+        kind[at] = np.frombuffer(c.unpack(told[b]), np.uint8)
+    kind = kind[np.searchsorted(keys, a.anchor)] if len(keys) else kind
+    some, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+    first, last = a.at[a.run[some]], a.at[a.stop[some]] + LENGTH
+    each = a.at[_flat(a.run[hot], a.stop[hot] - a.run[hot] + 1)]
+    hot_doc = np.repeat(a.doc[hot], a.stop[hot] - a.run[hot] + 1)
+    shard = np.concatenate([a.anchor[some], a.roll.runs(each, each + LENGTH)])
+    first, last, doc = np.concatenate([first, each]), np.concatenate([last, each + LENGTH]), np.concatenate([a.doc[some], hot_doc])
+    text, head, place = np.unique(a.roll.runs(first, last), return_index=True, return_inverse=True)
+    order = np.argsort(place, kind="stable")  # who has a text, text by text
+    count = np.bincount(place, minlength=len(text))
+    before = np.cumsum(count) - count
+    ids = np.array([LEAST if x is None else x for x in chunk.ids], np.int64)
+    size = (last - first)[head]
+    out = []
+    for b, i in c.by_bucket(shard[head], buckets):
+        who = order[_flat(before[i], count[i])]
+        docs, own = np.unique(doc[who], return_inverse=True)
+        out.append((b, c.pack((size[i].astype(np.uint8).tobytes(), chunk.data[_flat(first[head[i]], size[i])].tobytes(), count[i].astype(np.uint32).tobytes(), ids[docs].tobytes(), own.astype(np.uint16).tobytes(), first[who].astype(np.uint32).tobytes()))))
     return out
 
 
+class Growing:
+    """An array that grows at the end, in an unnamed file."""
+
+    def __init__(self, kind: type):
+        self.kind, self.n, self.file = np.dtype(kind), 0, tempfile.TemporaryFile()
+
+    def add(self, x: np.ndarray) -> None:
+        self.file.write(memoryview(np.ascontiguousarray(x, self.kind)).cast("B"))
+        self.n += len(x)
+
+    def read(self) -> np.ndarray:
+        self.file.flush()
+        return np.memmap(self.file, self.kind, "r", shape=(self.n,)) if self.n else np.zeros(0, self.kind)
+
+
+class Shard:
+    """The stretches of a shard, on disk from their arrival on."""
+
+    def __init__(self, budget: int = BUDGET):
+        self.budget = budget
+        self.size, self.text, self.count, self.doc, self.place = (Growing(k) for k in (np.uint8, np.uint8, np.uint32, np.int64, np.uint32))
+        self.chunks: list[tuple[int, int]] = []  # number and occurrences of each question
+
+    def add(self, number: int, asked: bytes) -> None:
+        size, text, count, ids, own, place = c.unpack(asked)
+        own = np.frombuffer(own, np.uint16)
+        self.size.add(np.frombuffer(size, np.uint8))
+        self.text.add(np.frombuffer(text, np.uint8))
+        self.count.add(np.frombuffer(count, np.uint32))
+        self.doc.add(np.frombuffer(ids, np.int64)[own])
+        self.place.add(np.frombuffer(place, np.uint32))
+        self.chunks.append((number, len(own)))
+
+    def _distinct(self, size: np.ndarray, begin: np.ndarray, data: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of distinct texts, and the first stretch of each."""
+        queue, n = Queue(self.budget), len(size)
+        step = max(self.budget // 64, 1)
+        for lo in range(0, n, step):
+            hi = min(lo + step, n)
+            some = data[begin[lo] : begin[hi - 1] + size[hi - 1]]
+            h = c.Rolling(_BYTES[some]).runs(begin[lo:hi] - begin[lo], begin[lo:hi] - begin[lo] + size[lo:hi])
+            queue.push([(h >> U64(1)).astype(np.int64), size[lo:hi].astype(np.int64)], np.arange(lo, hi), np.arange(lo, hi))
+        number, first, k, last = store.array(n, np.int64), store.array(n, np.int64), 0, None
+        for words, _, at in queue.pop():
+            same = np.ones(len(at), bool)
+            for w, x in zip(words, last or [None] * 2, strict=True):
+                same &= np.concatenate([[x is not None and w[0] == x], w[1:] == w[:-1]])
+            # equal hashes: the texts themselves are compared
+            pair = np.flatnonzero(same)
+            before = np.concatenate([[last_at if last else 0], at[:-1]])[pair]
+            x, y = _flat(begin[at[pair]], size[at[pair]].astype(np.int64)), _flat(begin[before], size[at[pair]].astype(np.int64))
+            wrong = data[x] != data[y]
+            if wrong.any():
+                owner = np.repeat(np.arange(len(pair)), size[at[pair]])
+                same[pair[np.unique(owner[wrong])]] = False
+            number[at] = k + np.cumsum(~same) - 1
+            new = at[~same]
+            first[k : k + len(new)] = new
+            k, last, last_at = k + len(new), [int(w[-1]) for w in words], int(at[-1])
+        return number, first[:k]
+
+    def answers(self) -> Iterator[tuple[int, bytes]]:
+        """For each chunk, the places of strings that stand in a smaller document, as runs."""
+        size, data, count, doc, place = (g.read() for g in (self.size, self.text, self.count, self.doc, self.place))
+        if not len(size):
+            return
+        store = Store(self.budget)
+        n = len(size)
+        begin = store.array(n + 1, np.int64)
+        np.cumsum(size, out=begin[1:], dtype=np.int64)
+        number, first = self._distinct(size, begin[:-1], data, store)
+        m, step = len(first), max(self.budget // 64, 1)
+        own, least, stretch = store.array(m, np.int64), store.array(m, np.int64), store.array(len(doc), np.int64)
+        least[:] = _NO_DOCUMENT
+        for lo in range(0, m, step):
+            own[lo : lo + step] = size[first[lo : lo + step]]
+        k = 0
+        for lo in range(0, n, step):
+            of_occurrence = np.repeat(number[lo : lo + step], count[lo : lo + step])
+            stretch[k : k + len(of_occurrence)] = of_occurrence
+            np.minimum.at(least, of_occurrence, doc[k : k + len(of_occurrence)])
+            k += len(of_occurrence)
+        at = store.array(m + 1, np.int64)
+        np.cumsum(own, out=at[1:])
+        for lo in range(0, m + 1, step):
+            at[lo : lo + step] += np.arange(lo, min(lo + step, m + 1))  # an end after each text
+        text = store.array(int(at[-1]), np.uint16)
+        need, of = store.array(len(text), bool), store.array(len(text), np.int32)  # of: the stretch of a string
+        for lo in range(0, m, step):
+            i = slice(lo, min(lo + step, m))
+            text[_flat(at[i], own[i])] = data[_flat(begin[first[i]], own[i])].astype(np.uint16) + 1
+            starts = _flat(at[i], own[i] - LENGTH + 1)
+            need[starts] = True
+            of[starts] = np.repeat(np.arange(i.start, i.stop), own[i] - LENGTH + 1)
+        order, common = sort_suffixes(text, need, LENGTH, self.budget, store)
+        # suffixes with LENGTH bytes in common are a group; found: its least document
+        group, groups = store.array(len(order), np.int64), 0
+        for lo in range(0, len(order), self.budget):
+            g = groups + np.cumsum(common[lo : lo + self.budget] < LENGTH)
+            group[lo : lo + self.budget], groups = g - 1, int(g[-1])
+        of_group, found = store.array(groups, np.int64), store.array(len(text), np.int64)
+        of_group[:] = _NO_DOCUMENT
+        for lo in range(0, len(order), self.budget):
+            np.minimum.at(of_group, group[lo : lo + self.budget], least[of[order[lo : lo + self.budget]]])
+        for lo in range(0, len(order), self.budget):
+            found[order[lo : lo + self.budget]] = of_group[group[lo : lo + self.budget]]
+        k = 0
+        for chunk, n_own in self.chunks:
+            s, d, p = stretch[k : k + n_own], doc[k : k + n_own], place[k : k + n_own].astype(np.int64)
+            strings = own[s] - LENGTH + 1
+            gone = found[_flat(at[s], strings)] < np.repeat(d, strings)
+            edge = np.zeros(len(gone) + 1, bool)
+            edge[np.cumsum(strings) - strings] = True
+            on = gone & (edge[:-1] | ~np.concatenate([[False], gone[:-1]]))
+            off = gone & (edge[1:] | ~np.concatenate([gone[1:], [False]]))
+            off[-1:] |= gone[-1:]
+            where = _flat(p, strings)
+            if on.any():
+                yield chunk, c.pack((where[on].astype(np.uint32).tobytes(), (where[off] + LENGTH).astype(np.uint32).tobytes()))
+            k += n_own
+
+
+def _answer_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's questions are one shard, which is read as it arrives."""
+    shard = Shard()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            shard.add(batch.column("chunk")[i].as_py(), batch.column("data")[i].as_py())
+    for number, data in shard.answers():
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "bucket", "data"])
+
+
+def _documents(chunk: c.Chunk, told: list[bytes]) -> pa.RecordBatch:
+    step = np.zeros(len(chunk.raw) + 1, np.int32)
+    for x in told:
+        on, off = (np.frombuffer(y, np.uint32) for y in c.unpack(x))
+        np.add.at(step, on, 1)
+        np.add.at(step, off, -1)
+    removed = np.cumsum(step[:-1]) > 0
+    sums = prefix(removed)
+    begins = np.zeros(len(removed), bool)
+    begins[:1] = removed[:1]
+    begins[1:] = removed[1:] & ~removed[:-1]
+    first = chunk.off[:-1][np.diff(chunk.off) > 0]
+    begins[first] = removed[first]
+    spans = prefix(begins)
+    n_removed = np.diff(sums[chunk.off])
+    digests = []
+    for i, n in enumerate(n_removed.tolist()):
+        lo, hi = chunk.off[i], chunk.off[i + 1]
+        digests.append(hashlib.sha256(chunk.data[lo:hi][~removed[lo:hi]].tobytes() if n else chunk.text(i)).hexdigest())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(chunk.ids, pa.int64()), pa.array(np.diff(chunk.off), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(np.diff(spans[chunk.off]), pa.int64()), pa.array(digests, pa.string())],
+        names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    )
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and a digest of what is left, of every document."""
     buckets = 4 * parts(docs.sparkSession)
 
     def ask_anchors(chunk: c.Chunk) -> list[tuple[int, bytes]]:
-        a = Anchors(chunk)
-        return c.ask_counts(a.keys[a.sorted], a.count[a.sorted], buckets)
+        return c.ask_counts(*Anchors(chunk).counted(), buckets)
 
     def ask_shards(number: int, chunk: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
-        a = Anchors(chunk)
-        total = c.counts_told(a.keys[a.sorted], told[0], buckets)[a.back][a.place]
-        at = a.at[a.run[total >= 2]]
-        maybe = np.zeros(len(chunk.ids), bool)
-        maybe[np.searchsorted(chunk.off, at, "right") - 1] = True
-        if not maybe.all():
-            yield _wide(_documents(chunk, np.zeros(len(chunk.raw), bool), np.flatnonzero(~maybe)))
-        if not maybe.any():
-            return
-        part = chunk.part(np.flatnonzero(maybe))
-        repeated = np.unique(a.anchor[a.run[total >= 2]])
-        own = Anchors(part)
-        part.more = {"repeated": np.packbits(np.isin(own.anchor[own.run], repeated))}  # a bit a stretch
-        s = Stretches(part)
-        data = part.data
-        questions = [(b, c.pack((s.size[i].tobytes(), s.least[i].tobytes(), data[_flat(s.begin[i], s.size[i])].tobytes()))) for b, i in s.shards(buckets)]
-        yield _wide(c.rows_of(number, [(c.CONTENT, c.pack(part)), *questions]))
-
-    def finish(number: int, part: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
-        s = Stretches(part)
-        strings = s.size - LENGTH + 1
-        before = np.cumsum(strings) - strings
-        least = np.empty(int(strings.sum()), np.int64)
-        for b, i in s.shards(buckets):
-            least[_flat(before[i], strings[i])] = np.frombuffer(c.unpack(told[0][b]), np.int64)
-        here = strings[s.place]
-        copies = _flat(s.first, here)
-        gone = copies[least[_flat(before[s.place], here)] < np.repeat(s.doc, here)]
-        yield _documents(part, c.merged(gone, LENGTH, len(part.raw)), np.arange(len(part.ids)))
-
-    asked = written(c.gather(docs, ask_anchors), "anchors")
-    second = written(c.returned(asked, [c.answered(asked, c.answer_counts)], ask_shards, f"{c.SCHEMA}, {_RESULT}"), "stretches")
-    forget(asked)
-    open_rows = second.filter("chunk IS NOT NULL").select("chunk", "bucket", "data")
-    finished = c.returned(open_rows, [c.answered(open_rows, answer_shard)], finish, _RESULT)
-    return second.filter("chunk IS NULL").select(*_NAMES[3:]).union(finished)
+        yield c.rows_of(number, _questions(chunk, told[0], buckets))
+
+    def finish(number: int, chunk: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
+        yield _documents(chunk, list(told[0].values()))
+
+    content = c.gather(docs, "chunks")
+    anchors = written(c.answered(c.asking(content, ask_anchors), answer_anchors), "anchors")
+    shards = c.returned(content, [anchors], ask_shards, c.SCHEMA).repartitionById(buckets, F.col("bucket"))
+    gone = written(shards.mapInArrow(_answer_shards, c.SCHEMA).withColumn("bucket", F.spark_partition_id()), "removed")
+    forget(anchors)
+    return c.returned(content, [gone], finish, _RESULT)

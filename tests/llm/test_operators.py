@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -118,13 +119,41 @@ def test_quality_rules(docs, texts, empty, clashing):
     assert quality_rules.judge(clashing).count() == len(texts)
 
 
-def test_suffix_array_by_induction():
+@pytest.mark.parametrize("budget", [10**6, 50, 7])
+def test_suffixes_by_external_induction(budget):
+    """Order and common prefixes against sorted slices; small budgets put every queue and array on disk."""
     rand = np.random.default_rng(4)
-    for n, symbols in ((1, 3), (5, 2), (300, 2), (2000, 4), (500, 250)):
-        t = np.append(rand.integers(1, symbols + 1, n), 0)
-        want = sorted(range(n + 1), key=lambda i: t[i:].tolist())  # noqa: B023
-        assert suffix_array.suffix_array(t, n + 1).tolist() == want
-        assert suffix_array.suffix_array(t, n + 1, budget=20).tolist() == want  # queues on disk
+    for trial in range(30):
+        strings = [rand.integers(1, rand.integers(2, 6), rand.integers(1, 90)).tolist() for _ in range(rand.integers(1, 12))]
+        if trial % 3 == 0:
+            strings += [[1] * 80, [2] * 75 + [1] * 3, strings[0], [1] * 30 + [2] * 30 + [1] * 20, list(range(1, 90)), list(range(90, 1, -1))]
+        text = np.concatenate([np.append(np.array(s, np.int64), 0) for s in strings])
+        need, depth = (rand.random(len(text)) < rand.choice([0.2, 1.0])) & (text > 0), int(rand.choice([1, 2, 3, 7, 20, 50]))
+        order, common = suffix_array.sort_suffixes(text, need, depth, budget)
+        ends = np.flatnonzero(text == 0)
+        cut = [text[i : min(i + depth, ends[np.searchsorted(ends, i)] + 1)].tolist() for i in order]
+        assert sorted(order) == np.flatnonzero(need).tolist() and cut == sorted(cut)
+        for a, b, k in zip(cut, cut[1:], common[1:], strict=False):
+            same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), None)
+            assert min(k, depth) >= len(a) if a == b else min(k, depth) == same
+
+
+def test_shard_larger_than_its_memory():
+    """A shard of 60 times the budget: the sort's memory stays with the budget."""
+    rand = np.random.default_rng(14)
+    text = np.append(rand.integers(1, 60, (40_000, 75)), np.zeros((40_000, 1), np.int64), axis=1).astype(np.uint16)
+    text[20_000:, 10:], text[20_000:, 9] = text[:20_000, 10:], text[:20_000, 9] % 59 + 1
+    text, need = text.ravel(), np.tile(np.arange(76) < 25, 40_000)
+    peaks = []
+    for budget in (50_000, 10_000_000):
+        store = suffix_array.Store(budget)
+        tracemalloc.start()
+        order, common = suffix_array.sort_suffixes(text, need, 50, budget, store)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert (common >= 50).sum() == 20_000 * 15 and len(order) == 1_000_000
+        assert (store.on_disk > 20_000_000) == (budget == 50_000)
+    assert peaks[0] < 25_000_000 < peaks[1]
 
 
 def test_suffix_dedup(docs, texts, empty, clashing):
