@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .cluster import written_in_buckets
-from .textbytes import U64, column_bytes
+from .textbytes import U64, column_bytes, mix
 
 CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 4096
 STATE = -1
@@ -193,16 +193,22 @@ class Rolling:
         self.sums = np.concatenate([np.zeros(1, U64), np.cumsum(items * up[: n - 1])])
 
     def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        from .textbytes import mix
-
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(U64))
 
-    def windows(self, k: int) -> np.ndarray:
-        """Hashes of all runs of k items, by start."""
-        from .textbytes import mix
+    def windows(self, k: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """Hashes of runs of k items, by start (from lo to before hi)."""
+        n = len(self.sums) - k if hi is None else hi
+        return mix((self.sums[lo + k : n + k] - self.sums[lo:n]) * self.down[lo:n] + U64(k)) if n > lo else np.zeros(0, U64)
+
 
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n] + U64(k)) if n > 0 else np.zeros(0, U64)
+def least_windows(roll: Rolling, k: int, w: int, block: int = 50_000) -> np.ndarray:
+    """The least hash of each w runs of k items, by start; blocks stay in cache."""
+    n = len(roll.sums) - k - w + 1
+    out = np.zeros(max(n, 0), U64)
+    for lo in range(0, n, block):
+        hi = min(lo + block, n)
+        out[lo:hi] = sliding_min(roll.windows(k, lo, hi + w - 1), w)
+    return out
 
 
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:

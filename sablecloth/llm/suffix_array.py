@@ -30,8 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
-#: Tuples that a queue sorts at once, and symbols of a block.
+#: Tuples that a queue sorts at once, and longest array in memory.
 BUDGET = 4_000_000
+#: Symbols that are handled at once, so that they stay in cache.
+BLOCK = 100_000
 #: Common prefixes are counted up to MOST; longer runs than LONGEST_RUN aren't told apart,
 #: so no depth may be larger.
 MOST, LONGEST_RUN = 120, 60
@@ -43,7 +45,7 @@ class Store:
     """Arrays that lie in unnamed files once they are longer than the budget."""
 
     def __init__(self, budget: int = BUDGET):
-        self.budget = budget
+        self.budget, self.block = budget, min(budget, BLOCK)
         self.on_disk = 0
 
     def array(self, n: int, kind: type | str) -> np.ndarray:
@@ -169,8 +171,8 @@ class RangeMin:
         while 2 * step <= n:
             below = self.levels[-1]
             level = store.array(n - 2 * step + 1, np.uint8)
-            for lo in range(0, len(level), BUDGET):
-                hi = min(lo + BUDGET, len(level))
+            for lo in range(0, len(level), BLOCK):
+                hi = min(lo + BLOCK, len(level))
                 level[lo:hi] = np.minimum(below[lo:hi], below[lo + step : hi + step])
             self.levels.append(level)
             step *= 2
@@ -335,18 +337,18 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
     if depth > LONGEST_RUN:
         raise ValueError(f"depths over {LONGEST_RUN} aren't supported")
     store = store or Store(budget)
-    blocks = _blocks(text, store.budget)
+    blocks = _blocks(text, min(store.budget, BLOCK))
     if depth <= 1 or not blocks:
         return _by_symbol(text, need, blocks, store)
     bits = max(int(max(int(text[lo:hi].max()) for lo, hi in blocks)).bit_length(), 1)
     # names of the substrings between S* runs
     queue, at, counts = Queue(store.budget), 0, []
+    most = len(text) // 2 + sum(int((text[lo:hi] == 0).sum()) for lo, hi in blocks)  # of S* runs
+    place, wanted = store.array(most, np.int64), store.array(most, bool)
     for lo, hi in blocks:
-        counts.append(len(_Runs(text[lo:hi], bits).star))
-    n = sum(counts)
-    place, wanted, names = store.array(n, np.int64), store.array(n, bool), store.array(n, np.int64)
-    for (lo, hi), m in zip(blocks, counts, strict=True):
         r = _Runs(text[lo:hi], bits)
+        m = len(r.star)
+        counts.append(m)
         place[at : at + m] = r.head[r.star] + lo
         stop = np.append(r.star[1:], r.star[-1])
         ends = r.symbol[r.star] == 0
@@ -357,6 +359,8 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
         begin = np.concatenate([[0], r.head[r.star[:-1]]])
         wanted[at : at + m] = sums[r.head[r.star]] > sums[begin]
         at += m
+    n, names = at, store.array(at, np.int64)
+    place, wanted = place[:n], wanted[:n]
     new, sizes, last = 0, [], None
     for words, _, j in queue.pop():
         same = _same(words, last)
@@ -376,18 +380,18 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
     seeds, in_names = sort_suffixes(names, _not_ends(names, wanted, store), deep, budget, store)
     rank, common = store.array(n, np.int64), store.array(n, np.uint8)
     least = RangeMin(between, store)
-    ends_first = int(sum(int(((names[lo : lo + store.budget] == 0) & wanted[lo : lo + store.budget]).sum()) for lo in range(0, n, store.budget)))
+    ends_first = int(sum(int(((names[lo : lo + store.block] == 0) & wanted[lo : lo + store.block]).sum()) for lo in range(0, n, store.block)))
     k = 0
-    for lo in range(0, n, store.budget):  # suffixes of an end alone come first; they are alike
-        j = lo + np.flatnonzero((names[lo : lo + store.budget] == 0) & wanted[lo : lo + store.budget])
+    for lo in range(0, n, store.block):  # suffixes of an end alone come first; they are alike
+        j = lo + np.flatnonzero((names[lo : lo + store.block] == 0) & wanted[lo : lo + store.block])
         rank[j] = np.arange(k, k + len(j))
         common[k : k + len(j)] = MOST
         k += len(j)
     if k:
         common[0] = 0
     before = -1
-    for lo in range(0, len(seeds), store.budget):
-        j, v = seeds[lo : lo + store.budget], in_names[lo : lo + store.budget].astype(np.int64)
+    for lo in range(0, len(seeds), store.block):
+        j, v = seeds[lo : lo + store.block], in_names[lo : lo + store.block].astype(np.int64)
         rank[j] = np.arange(ends_first + lo, ends_first + lo + len(j))
         prev = np.concatenate([[before if before >= 0 else j[0]], j[:-1]])
         found = np.full(len(j), MOST)
@@ -418,8 +422,8 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
         size, at = size + len(pos), at + m
     l_order, l_first, l_common = _induced(large, size, bits + _RUN_BITS, _DISTANCE, common[:total], store)
     where = store.array(len(text), np.int32 if len(text) < 2**31 else np.int64)
-    for lo in range(0, size, store.budget):
-        some = l_order[lo : lo + store.budget]
+    for lo in range(0, size, store.block):
+        some = l_order[lo : lo + store.block]
         where[some] = np.arange(lo, lo + len(some))
     small, s_size, at = Queue(store.budget), 0, 0
     for (lo, hi), m in zip(blocks, counts, strict=True):
@@ -440,8 +444,8 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
 
 def _not_ends(names: np.ndarray, wanted: np.ndarray, store: Store) -> np.ndarray:
     out = store.array(len(names), bool)
-    for lo in range(0, len(names), store.budget):
-        out[lo : lo + store.budget] = wanted[lo : lo + store.budget] & (names[lo : lo + store.budget] > 0)
+    for lo in range(0, len(names), store.block):
+        out[lo : lo + store.block] = wanted[lo : lo + store.block] & (names[lo : lo + store.block] > 0)
     return out
 
 
@@ -479,16 +483,16 @@ def _together(l_order: np.ndarray, l_first: np.ndarray, l_common: np.ndarray, s_
     order, common = store.array(n, np.int64), store.array(n, np.uint8)
     first = store.array(n, np.int64)
     for a_order, a_first, a_common, b_first, side in ((l_order, l_first, l_common, s_first, "left"), (s_order, s_first, s_common, l_first, "right")):
-        for lo in range(0, len(a_order), store.budget):
-            col = a_first[lo : lo + store.budget]
+        for lo in range(0, len(a_order), store.block):
+            col = a_first[lo : lo + store.block]
             # all of L with a symbol come before all of S with it
             bound = (col >> _RUN_BITS) << _RUN_BITS if side == "left" else ((col >> _RUN_BITS) << _RUN_BITS) | 127
             to = np.arange(lo, lo + len(col)) + np.searchsorted(b_first, bound, side)
             order[to], common[to], first[to] = a_order[lo : lo + len(col)], a_common[lo : lo + len(col)], col
     out, prefix, k, low = store.array(n, np.int64), store.array(n, np.uint8), 0, MOST
     last = None
-    for lo in range(0, n, store.budget):
-        pos, col, own = order[lo : lo + store.budget], first[lo : lo + store.budget], common[lo : lo + store.budget].astype(np.int64)
+    for lo in range(0, n, store.block):
+        pos, col, own = order[lo : lo + store.block], first[lo : lo + store.block], common[lo : lo + store.block].astype(np.int64)
         before = np.concatenate([[col[0] if last is None else last], col[:-1]])
         kind = lambda v: (v & _RUN) > LONGEST_RUN
         run = lambda v: np.where(kind(v), 127 - (v & _RUN), v & _RUN)

@@ -53,7 +53,7 @@ class Anchors:
     def __init__(self, chunk: c.Chunk):
         data = chunk.data
         self.roll = c.Rolling(_BYTES[data])
-        least = c.sliding_min(self.roll.windows(ANCHOR), SPAN)
+        least = c.least_windows(self.roll, ANCHOR, SPAN)
         self.at = np.flatnonzero(c.starts_within(chunk.off, len(data), LENGTH)[: len(least)]) if len(least) else np.zeros(0, np.int64)
         anchor = least[self.at]
         new = np.ones(len(self.at), bool)
