@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .cluster import written_in_buckets
+from .cluster import parts, written_in_buckets
 from .textbytes import U64, column_bytes, mix
 
 CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 4096
 STATE = -1
 SCHEMA = "chunk long, bucket int, data binary"
+#: Lower bits of a chunk's number, which count the chunks of its home.
+_CHUNK_BITS = 20
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
@@ -88,6 +90,29 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
         yield Chunk(ids, texts)
 
 
+def _bucket(x: int, buckets: int) -> int:
+    """Where Spark's hash puts a long: Murmur3 with seed 42, of its lower and its upper half."""
+    word, h = 2**32 - 1, 42
+    for half in (x & word, x >> 32 & word):
+        k = half * 0xCC9E2D51 & word
+        k = (k << 15 | k >> 17) & word
+        h ^= k * 0x1B873593 & word
+        h = ((h << 13 | h >> 19) & word) * 5 + 0xE6546B64 & word
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> shift) * factor & word
+    h ^= h >> 16
+    return (h - 2**32 if h >= 2**31 else h) % buckets
+
+
+def home_of(task: int, buckets: int) -> int:
+    """A number for a task whose bucket is the task's number, so that tasks fill buckets evenly."""
+    home = task
+    while _bucket(home, buckets) != task % buckets:
+        home += 1 << 24
+    return home
+
+
 def gather(docs: DataFrame, name: str) -> DataFrame:
     """A table (home, chunk, data) of the chunks of all documents, in the shared folder.
 
@@ -96,11 +121,12 @@ def gather(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
-        home, k = task.partitionId() if task else 0, 0
+        home, k = home_of(task.partitionId() if task else 0, buckets), 0
         for chunk in _gathered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([(home << 32) + k], pa.int64()), pa.array([pack(chunk)], pa.binary())], names=["home", "chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([(home << _CHUNK_BITS) + k], pa.int64()), pa.array([pack(chunk)], pa.binary())], names=["home", "chunk", "data"])
             k += 1
 
+    buckets = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return written_in_buckets(rows.mapInArrow(run, "home long, chunk long, data binary"), name, "home")
 
@@ -131,7 +157,7 @@ def returned(content: DataFrame, told: list[DataFrame], use: Callable, schema: s
     A group is what one task gathered: its size is that of a split of the input."""
     every, n, to_arrow = None, len(told), to_arrow_schema(StructType.fromDDL(schema))
     for k, rows in enumerate(told):
-        rows = rows.select(F.shiftright("chunk", 32).alias("home"), "chunk", "bucket", "data", F.lit(k).alias("k"))
+        rows = rows.select(F.shiftright("chunk", _CHUNK_BITS).alias("home"), "chunk", "bucket", "data", F.lit(k).alias("k"))
         every = rows if every is None else every.union(rows)
 
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:

@@ -57,6 +57,17 @@ class Words:
         at = np.flatnonzero(c.starts_within(self.first, self.n, WINDOW)[: len(least)]) if len(least) else np.zeros(0, np.int64)
         return at, least[at]
 
+    def sampled(self) -> np.ndarray:
+        """Hashes of the runs that are the least of a window that they lie in, one for each place."""
+        at, least = self.windows()
+        runs = self.roll.windows(RUN)
+        if not len(at):
+            return runs[:0]
+        most = np.zeros(len(runs) + SPAN - 1, U64)  # the least run of the window that begins SPAN - 1 before
+        most[at + SPAN - 1] = least
+        top = ~c.sliding_min(~most, SPAN)  # a run is no less than the least of any window around it
+        return runs[(top == runs) & (top > 0)]
+
 
 def _runs(at: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted places as runs of neighbours, first and last; cut: where a run ends before a place in any case."""
@@ -194,15 +205,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = 4 * parts(docs.sparkSession)
 
     def ask_runs(chunk: c.Chunk) -> list[tuple[int, bytes]]:
-        _, least = Words(chunk).windows()
-        keys, count = np.unique(least, return_counts=True)
+        keys, count = np.unique(Words(chunk).sampled(), return_counts=True)
         return c.ask_counts(keys, np.minimum(count, 2), buckets)
 
     def ask_nodes(number: int, chunk: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
         w = Words(chunk)
         at, least = w.windows()
         keys, place = np.unique(least, return_inverse=True)
-        # a run that is the least of several windows next to each other stands in one place only
         again = c.counts_told(keys, told[0], buckets) >= 2
         first, last = _runs(at[again[place]])
         yield c.rows_of(number, [(c.STATE, _kept(first, last)), *Nodes(w, first, last).asked(buckets)])

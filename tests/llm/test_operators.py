@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sablecloth.llm import byte_bpe, components, fingerprints, mixing, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_array, suffix_dedup, url_filters
+from sablecloth.llm import byte_bpe, chunks, components, fingerprints, mixing, near_dedup, quality_classifier, quality_rules, secret_scans, substring_dedup, suffix_array, suffix_dedup, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -184,6 +184,35 @@ def test_substring_dedup(docs, texts, empty, clashing):
     assert substring_dedup.remove_repeats(empty).count() == 0 and substring_dedup.remove_repeats(clashing).count() == len(texts)
 
 
+def test_homes_fill_buckets_evenly(spark):
+    homes = [chunks.home_of(task, 7) for task in range(21)]
+    got = spark.createDataFrame([(h,) for h in homes], "h long").select(F.expr("pmod(hash(h), 7)").alias("b")).collect()
+    assert [r.b for r in got] == [task % 7 for task in range(21)] and len(set(homes)) == 21
+
+
+def test_graph_where_copies_begin_and_end_differently(spark):
+    """Spans that start, end and branch inside one another, repeats within a document, and shared short runs."""
+    rand = np.random.default_rng(21)
+    new = lambda n: [f"u{x}" for x in rand.integers(0, 10**9, n)]
+    a, b = new(120), new(70)
+    rows = [a, new(40) + a[30:90] + new(40), a[10:60] + b + a[60:100], b[:40] + b[5:45] + new(5), a[50:85] + new(3), a[51:85] + new(30), ["x", "y"] * 60, new(20) + b[20:60], new(9) + a[40:48] + new(50)]
+    frame = spark.createDataFrame([(i, "  ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string").repartition(3)
+    count = Counter(tuple(w[k : k + 35]) for w in rows for k in range(len(w) - 34))
+    got = {r.doc_id: r for r in substring_dedup.remove_repeats(frame).collect()}
+    for i, w in enumerate(rows):
+        gone = {k + j for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for j in range(35)}
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))), i
+
+
+def test_repeats_come_from_verified_paths(spark):
+    """Without the paths nothing is removed, and paths whose words differ aren't repeats."""
+    copy = " ".join(f"w{i}" for i in range(50))
+    frame = spark.createDataFrame([(1, copy), (2, copy)], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeats(frame).collect()] == [50, 50]
+    told = substring_dedup.answer_paths([chunks.pack(([b"a b", b"c"], [1, 2])), chunks.pack(([b"a b", b"d"], [1, 1]))])
+    assert [list(chunks.unpack(x)) for x in told] == [[1, 1], [1, 0]]
+
+
 def _lower(t: str) -> str:
     return "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in t)
 
