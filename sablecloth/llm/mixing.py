@@ -1,10 +1,11 @@
 """Mixing to target weights with soft membership.
 
 A labelled table (quality and toxic marks of some documents) defines four domains.
-A naive-Bayes classifier over binned ratios and a learnt lexicon gives every
-document posteriors of the domains.  Documents of equal bins have equal posteriors
+Every distinct word that the labels show to be more frequent in low or in toxic
+documents adds its log-odds to one of two sums; a naive-Bayes classifier over bins of the two sums and of
+four ratios gives posteriors of the domains.  Documents of equal bins have equal posteriors
 and a common rate, so all documents are summed up once, as tokens of the cells of
-equal bins (a table of at most 960 rows), and rates are fitted to that table by
+equal bins (a table of bounded size), and rates are fitted to that table by
 projected gradient steps on the relative squares, starting from 1, with momentum
 that restarts when it stops helping.  rates() fits nonnegative rates r_d whose
 expected tokens of each domain, sum r_d n_d p_dk, meet the targets; mixed() can
@@ -34,10 +35,10 @@ FIT_DOCUMENTS = 4000
 #: (quality, toxic) of each domain, and its share of the expected tokens.
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
 TARGETS = {"clean": 0.94, "toxic": 0.02, "low": 0.03, "low_toxic": 0.01}
-#: Words of the lexicon at most, and the least score of one.
-LEXICON, LEAST_SCORE = 64, 4.0
-#: Bounds of the bins of each ratio.
-BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.005, 0.05], "varied": [0.2, 0.4, 0.6, 0.8], "lexicon": [0.5, 1.5, 2.5]}
+#: Standard errors and labelled documents from which on a word's log-odds count.
+LEAST_SCORE, LEAST_SEEN = 4.0, 3
+#: Bounds of the bins of each ratio and of the sums of log-odds.
+BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.005, 0.05], "varied": [0.2, 0.4, 0.6, 0.8], "low": [1.0, 4.0, 10.0], "toxic": [1.0, 4.0, 8.0]}
 #: The error relative to all tokens that ends the steps, and the tokens of the first
 #: domain that the targets of rates() ask for, relative to what there is.
 CLOSE, HEADROOM = 1e-4, 1.25
@@ -45,7 +46,7 @@ CLOSE, HEADROOM = 1e-4, 1.25
 SETTLED, MOST_STEPS = 1e-10, 500_000
 #: Kept share of all tokens under which nothing meets the targets.
 NOTHING = 1e-6
-_WORD_GAP = "[\\x20\\x09-\\x0D.,;:!?]+"
+_WORD_GAP = "[\\x20\\x09-\\x0D.,;:!?#*$%&<>|]+"
 
 
 def _text() -> Column:
@@ -53,33 +54,45 @@ def _text() -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Distinct words, lower-cased, without stops."""
+    """Distinct words, lower-cased, without stops and symbols."""
     return F.array_distinct(F.split(F.lower(text), _WORD_GAP))
 
 
-def _share(text: Column, chars: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, chars, ""))) / F.greatest(F.length(text), F.lit(1))
+def _share(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
 
 
-def _measured(lexicon: list[str]) -> Column:
+def _constant(values: np.ndarray) -> Column:
+    """An array of numbers, which Spark folds into one constant."""
+    return F.split(F.lit(",".join(f"{x:.9g}" for x in values.tolist())), ",").cast("array<double>")
+
+
+def _measured(odds: dict[str, dict[str, float]]) -> Column:
     """struct<n_tokens, cell>: cell numbers the bins of all ratios.
 
     Lambdas bind the text, its words and the ratios, so that none is computed again for each use."""
     text = F.transform(F.array(_text()), lambda t: F.struct(t.alias("text"), _words(t).alias("words"), tokens(t).alias("n_tokens")))
 
+    def summed(words: Column, name: str) -> Column:
+        if not odds[name]:
+            return F.lit(0.0)
+        known, weights = F.array(*map(F.lit, odds[name])), _constant(np.array(list(odds[name].values())))
+        # few words of a text are known, so each of them may be looked for
+        return F.aggregate(F.array_intersect(words, known), F.lit(0.0), lambda acc, w: acc + F.get(weights, (F.array_position(known, w) - 1).cast("int")))
+
     def ratios(x: Column) -> Column:
-        hits = F.size(F.array_intersect(x["words"], F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
         return F.struct(
             x["n_tokens"].alias("n_tokens"),
-            _share(x["text"], "#*$%&<>|").alias("symbols"),
-            _share(x["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
-            _share(x["text"], "!?").alias("marks"),
+            _share(x["text"], "[#*$%&<>|]").alias("symbols"),
+            _share(x["text"], "[A-Z]").alias("upper"),
+            _share(x["text"], "[!?]").alias("marks"),
             (F.size(x["words"]) / F.greatest(x["n_tokens"], F.lit(1))).alias("varied"),
-            hits.alias("lexicon"),
+            summed(x["words"], "low").alias("low"),
+            summed(x["words"], "toxic").alias("toxic"),
         )
 
     def cell(x: Column) -> Column:
@@ -117,18 +130,10 @@ class Classifier:
         # FIT_DOCUMENTS rows of an id and a name at most
         marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("labelled"))
         total = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-        n_toxic = sum(total.get(d, 0) for d, (_, toxic) in DOMAINS.items() if toxic)
-        n_other = sum(total.values()) - n_toxic
-        self.lexicon: list[str] = []
-        if n_toxic and n_other:
-            toxic = F.col("domain").isin([d for d, (_, t) in DOMAINS.items() if t]).cast("int")
-            seen = marked.select(toxic.alias("t"), F.explode(_words(_text())).alias("word")).groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
-            odds = F.log((F.col("a") + 0.5) / (F.lit(n_toxic) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n_other) - F.col("b") + 0.5))
-            score = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-            self.lexicon = [r["word"] for r in seen.filter("word <> '' AND a >= 3").select("word", score.alias("score")).filter(F.col("score") >= LEAST_SCORE).orderBy(F.desc("score"), "word").limit(LEXICON).collect()]
+        self.odds = {name: self._odds(marked, total, [d for d, mark in DOMAINS.items() if mark[k] == bad]) for name, k, bad in (("low", 0, 0), ("toxic", 1, 1))}
         of_cell = _bins_of_cells()
         counts: dict[str, dict] = {}
-        for r in marked.select("domain", _measured(self.lexicon)["cell"].alias("cell")).groupBy("domain", "cell").count().collect():
+        for r in marked.select("domain", _measured(self.odds)["cell"].alias("cell")).groupBy("domain", "cell").count().collect():
             c = counts.setdefault(r["domain"], {"n": 0})
             c["n"] += r["count"]
             for name in BINS:
@@ -143,6 +148,21 @@ class Classifier:
                 size = len(bounds) + 1
                 self.weights[d, name] = [math.log((c.get(f"{name}_{k}", 0) + 0.5) / (c["n"] + 0.5 * size)) for k in range(size)]
 
+    @staticmethod
+    def _odds(marked: DataFrame, total: dict[str, int], bad: list[str]) -> dict[str, float]:
+        """Log-odds of the domains in bad, by word, of words for which they are clearly above 0.
+
+        What is collected grows with FIT_DOCUMENTS alone."""
+        n_a, n_b = (sum(n for d, n in total.items() if (d in bad) == own) for own in (True, False))
+        if not n_a or not n_b:
+            return {}
+        own = F.col("domain").isin(bad).cast("int")
+        seen = marked.select(own.alias("t"), F.explode(_words(_text())).alias("word")).groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
+        odds = F.log((F.col("a") + 0.5) / (F.lit(n_a) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n_b) - F.col("b") + 0.5))
+        error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+        clear = seen.filter(f"word <> '' AND a >= {LEAST_SEEN}").select("word", odds.alias("odds"), error.alias("error")).filter(F.col("odds") >= LEAST_SCORE * F.col("error"))
+        return {r["word"]: r["odds"] for r in clear.orderBy("word").collect()}
+
     def posterior(self) -> np.ndarray:
         """By cell, in the order of DOMAINS."""
         logs = np.array([sum((np.array(self.weights[d, name])[b] for name, b in _bins_of_cells().items()), self.prior[d]) for d in DOMAINS]).T
@@ -227,8 +247,7 @@ def _warn(n: np.ndarray, p: np.ndarray, r: np.ndarray, targets: dict[str, float]
 
 
 def _of_cell(values: np.ndarray, cell: Column) -> Column:
-    """The value of a cell; Spark folds the table into one constant."""
-    return F.get(F.expr(f"array({', '.join(f'{x!r}D' for x in values.tolist())})"), cell)
+    return F.get(_constant(values), cell)
 
 
 def _tokens_by_cell(rows: DataFrame) -> np.ndarray:
@@ -244,7 +263,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     from .cluster import written
 
     model = Classifier(docs, labels)
-    known = written(docs.select("doc_id", _measured(model.lexicon).alias("m")).select("doc_id", "m.n_tokens", "m.cell"), "cells")
+    known = written(docs.select("doc_id", _measured(model.odds).alias("m")).select("doc_id", "m.n_tokens", "m.cell"), "cells")
     p = model.posterior()
     rate = fit_rates(_tokens_by_cell(known), p, targets)
     names = F.array(*map(F.lit, DOMAINS))
@@ -256,7 +275,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     """The documents that the rates keep, columns unchanged: of each cell a share that
     equals its rate, by a hash of the doc_id."""
     model = Classifier(docs, labels)
-    n = _tokens_by_cell(docs.select(_measured(model.lexicon).alias("m")).select("m.n_tokens", "m.cell"))
+    n = _tokens_by_cell(docs.select(_measured(model.odds).alias("m")).select("m.n_tokens", "m.cell"))
     rate = fit_kept(n, model.posterior(), targets)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    return docs.filter(place < _of_cell(rate, _measured(model.lexicon)["cell"]))
+    return docs.filter(place < _of_cell(rate, _measured(model.odds)["cell"]))

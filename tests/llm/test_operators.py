@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import tracemalloc
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -375,6 +377,57 @@ def _labelled(spark, n: int, size: int, shares: dict[str, float]):
     return spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
 
 
+def test_mixing_against_plain_python(spark, texts):
+    """Words, cells, posteriors and rates, worked out again document by document."""
+    insults = ["moron", "trash"]
+    rows = [(i, t, int(i % 4 > 0), 0) for i, t in enumerate(texts)] + [(100 + i, f"{' '.join(insults)} they said of {i} {'*** ' * (i % 9)}", int(i % 9 < 3), 1) for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    labels = frame.select("doc_id", "quality", "toxic")
+    model = mixing.Classifier(frame.select("doc_id", "text"), labels)
+    assert set(insults) <= set(model.odds["toxic"])
+    got = {r.doc_id: r for r in mixing.rates(frame.select("doc_id", "text"), labels).collect()}
+    cells = {}
+    for i, t, _, _ in rows:
+        t = t or ""
+        distinct = dict.fromkeys(re.split(r"[\x20\t-\r.,;:!?#*$%&<>|]+", t.lower()))
+        n, size = len(WORD.findall(t)), max(len(t), 1)
+        ratio = {"symbols": len(re.findall(r"[#*$%&<>|]", t)) / size, "upper": len(re.findall("[A-Z]", t)) / size, "marks": len(re.findall("[!?]", t)) / size, "varied": len(distinct) / max(n, 1)}
+        ratio |= {name: sum(model.odds[name].get(w, 0) for w in distinct) for name in ("low", "toxic")}
+        bins = [sum(ratio[name] > b for b in bounds) for name, bounds in mixing.BINS.items()]
+        logs = np.array([model.prior[d] + sum(model.weights[d, name][b] for name, b in zip(mixing.BINS, bins, strict=True)) for d in mixing.DOMAINS])
+        cells[i] = (int(np.ravel_multi_index(bins, [len(b) + 1 for b in mixing.BINS.values()])), n, np.exp(logs) / np.exp(logs).sum())
+    tokens, posterior = np.zeros(len(model.posterior())), model.posterior()
+    for cell, n, _ in cells.values():
+        tokens[cell] += n
+    rate = mixing.fit_rates(tokens, posterior)
+    for i, (cell, n, p) in cells.items():
+        assert got[i].n_tokens == n and got[i].rate == pytest.approx(rate[cell], rel=1e-6)
+        assert [got[i][f"p_{d}"] for d in mixing.DOMAINS] == pytest.approx(p.tolist(), rel=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rates_are_the_least_squares(seed):
+    """Targets that can't be met: the error against the best of all sets of rates at their bounds."""
+    rand = np.random.default_rng(seed)
+    n, p = rand.integers(50, 500, 5).astype(float), rand.dirichlet([6.0, 2.0, 2.0, 2.0], 5)
+    share = np.array(list(mixing.TARGETS.values()))
+    total = mixing.HEADROOM * (n @ p)[0] / share[0] * share
+    unit = np.sqrt(total)
+    a = (n[:, None] * p / unit).T
+    best = np.inf
+    for free in itertools.product([False, True], repeat=5):
+        at = np.flatnonzero(free)
+        r = np.zeros(5)
+        if len(at):
+            r[at] = np.linalg.lstsq(a[:, at], total / unit, rcond=None)[0]
+        if r.min() >= -1e-12:
+            best = min(best, np.sum((a @ r - total / unit) ** 2))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        r = mixing.fit_rates(n, p)
+    assert r.min() >= 0 and np.sum((a @ r - total / unit) ** 2) <= best * (1 + 1e-3) + 1e-4 * total.sum() ** 0.5
+
+
 SHARES = {"clean": 0.76, "toxic": 0.107, "low": 0.081, "low_toxic": 0.052}
 
 
