@@ -42,8 +42,9 @@ BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.0
 #: The error relative to all tokens that ends the steps, and the tokens of the first
 #: domain that the targets of rates() ask for, relative to what there is.
 CLOSE, HEADROOM = 1e-4, 1.25
-#: Change of a rate in a step under which rates have settled; steps after which the fit gives up.
-SETTLED, MOST_STEPS = 1e-10, 500_000
+#: Weight of the rates' squared distance from 1 (of many rates with equal sums, the closest to 1
+#: are sought, so the steps end); change of a rate in a step under which rates have settled.
+CLOSENESS, SETTLED = 1e-6, 1e-9
 #: Kept share of all tokens under which nothing meets the targets.
 NOTHING = 1e-6
 _WORD_GAP = "[\\x20\\x09-\\x0D.,;:!?#*$%&<>|]+"
@@ -182,11 +183,11 @@ def _descend(n: np.ndarray, p: np.ndarray, by: np.ndarray, wanted: np.ndarray, u
     met: Callable[[np.ndarray], bool] = lambda r: bool(np.max(np.abs(error(r)) * unit) <= CLOSE * max((r * n).sum(), wanted.sum(), 1.0))
     r = ahead = np.ones(len(n))
     pace = 1.0
-    for _ in range(MOST_STEPS):
+    while True:
         if met(r) or not top:
             rate[some] = r
             return rate, met(r)
-        new = np.clip(ahead - q @ error(ahead) / top, 0.0, most)
+        new = np.clip(ahead - (q @ error(ahead) / top + CLOSENESS * (ahead - 1)) / (1 + CLOSENESS), 0.0, most)
         if np.max(np.abs(new - ahead)) < SETTLED:  # a step from there goes nowhere: the least squares
             rate[some] = new
             return rate, met(new)
@@ -195,7 +196,6 @@ def _descend(n: np.ndarray, p: np.ndarray, by: np.ndarray, wanted: np.ndarray, u
             continue
         faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
         r, ahead, pace = new, new + (pace - 1) / faster * (new - r), faster
-    raise RuntimeError("rates didn't settle")
 
 
 def fit_rates(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS) -> np.ndarray:
