@@ -1,38 +1,44 @@
 """Quality rules with thresholds that follow the data.
 
 Fixed rules come first: too few words, or mostly repeated three-word windows.
-The rest is judged against the documents of the same language and source: each
-group's ratios go into KLL quantile sketches, which are partial aggregates and
-merge across tasks; a document is dropped when a ratio lies far above its
-group's lower half, so the junk in a group doesn't set its own threshold.
-Groups of few documents take the merged sketch of their language, languages of
-few documents the merged sketch of all.
+The documents that pass them are judged against those of the same language and source.
+Each group's ratios go into quantile sketches: counts by buckets whose bounds grow by
+GROWTH, so any quantile is known to one percent, sketches merge by adding, and equal
+data give equal sketches.  A document is dropped when a ratio lies above its group's
+threshold: UPPER quantile + SPREADS * (UPPER quantile - median) + UNITS * (what one
+symbol, line or word makes of a median document).  Nothing in it is a fixed cutoff.
+Small groups lean on their language: its sketch, brought down to POINTS quantiles, is
+merged into the group's as SHRINK more documents, and that of all documents into the
+language's in the same way, so no size of a group switches to other rules.
 
 Defined results: a null text has no words and fails the fixed rules; a null
 language or source is a group of its own; rows of equal doc_id are judged one by
-one; an empty table gives no rows.  Extra columns are ignored.
+one; a group whose documents all fail the fixed rules has no thresholds; an empty
+table gives no rows.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .cluster import written
 from .textbytes import U64, column_bytes, hash_spans, padded, prefix, shingles, slices, words
 
 #: Fixed rules.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
-#: Ratios, and how far above the group's median a value must lie at least.
-MARGINS = {"symbol_ratio": 0.04, "upper_ratio": 0.25, "dup_line_ratio": 0.4, "repeat_ratio": 0.3}
-#: Times the distance from the lower quartile to the median that is added to the margin.
-SPREADS = 6.0
-#: Groups with fewer documents use the sketch of the level above.
-LEAST_GROUP = 200
-SKETCH_K = 400
+#: Ratios, and the size of a document that each is counted in.
+RATIOS = {"symbol_ratio": "word_chars", "upper_ratio": "word_chars", "dup_line_ratio": "n_lines", "repeat_ratio": "n_words"}
+#: The threshold's quantile (more than that share of a group may not be junk), and its terms.
+UPPER, SPREADS, UNITS = 0.85, 16.0, 4.0
+#: Documents, at as many quantiles, that the level above adds to a group's sketch.
+SHRINK, POINTS = 100, 20
+#: Growth of the bounds of a sketch's buckets, and the bucket of zero.
+GROWTH, ZERO = 1.02, -1_000_000
 
 _FLAGS = np.zeros(256, np.uint8)
 _FLAGS[list(b"#*$%&|<>")] = 1
@@ -105,28 +111,59 @@ def with_counts(docs: DataFrame) -> DataFrame:
     )
 
 
-def _threshold(sketch: Column, name: str) -> Column:
-    half, low = F.kll_sketch_get_quantile_double(sketch, F.lit(0.5)), F.kll_sketch_get_quantile_double(sketch, F.lit(0.25))
-    return half + F.lit(SPREADS) * (half - low) + F.lit(MARGINS[name])
+def bucket_of(x: Column) -> Column:
+    return F.when(x > 0, F.ceil(F.log(x) / F.lit(math.log(GROWTH))).cast("int")).otherwise(ZERO)
+
+
+def value_of(bucket: Column) -> Column:
+    """The middle of a bucket."""
+    return F.when(bucket == ZERO, 0.0).otherwise(F.pow(F.lit(GROWTH), bucket) * (2 / (1 + GROWTH)))
+
+
+def sketches(counted: DataFrame) -> DataFrame:
+    """(lang, source, name, bucket, n): partial sums first, so a hot group costs as many rows as it has buckets."""
+    values = [F.struct(F.lit(name).alias("name"), F.col(name).alias("x")) for name in RATIOS]
+    values += [F.struct(F.lit(size).alias("name"), (1 / F.greatest(F.col(size), F.lit(1))).alias("x")) for size in dict.fromkeys(RATIOS.values())]
+    long = counted.filter("NOT base_failed").select("lang", "source", F.explode(F.array(*values)).alias("v"))
+    return long.groupBy("lang", "source", F.col("v.name").alias("name"), bucket_of(F.col("v.x")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def _placed(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Buckets with the number of documents up to each, and of all."""
+    merged = sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "name")
+    return merged.select("*", F.sum("n").over(whole).alias("all"), F.sum("n").over(whole.orderBy("bucket")).alias("so_far"))
+
+
+def _at(share: float) -> Column:
+    return F.min(F.when(F.col("so_far") >= share * F.col("all"), F.col("bucket")))
+
+
+def _points(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, bucket, n): POINTS quantiles, SHRINK documents in all."""
+    found = _placed(sketch, keys).groupBy(*keys, "name").agg(F.array(*(_at((k + 0.5) / POINTS) for k in range(POINTS))).alias("at"))
+    return found.select(*keys, "name", F.explode("at").alias("bucket"), F.lit(SHRINK / POINTS).alias("n"))
+
+
+def _leaning(sketch: DataFrame, keys: list[str], above: DataFrame, by: list[str]) -> DataFrame:
+    """The sketch of the groups of keys with the points of the level above, which has the keys in by."""
+    own = sketch.select(*keys, "name", "bucket", F.col("n").cast("double").alias("n"))
+    above = above.select(*(F.col(c).alias(f"up_{c}") for c in by), F.col("name").alias("up_name"), "bucket", "n")
+    alike = F.col("name") == F.col("up_name")
+    for c in by:
+        alike &= F.col(c).eqNullSafe(F.col(f"up_{c}"))
+    return own.union(sketch.select(*keys, "name").distinct().join(above, alike).select(*keys, "name", "bucket", "n"))
 
 
 def thresholds(counted: DataFrame) -> DataFrame:
     """One row for each language and source: the largest ratio that is kept."""
-    groups = counted.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in MARGINS))
-    groups = written(groups, "quality-sketches")
-    merged = lambda df: [F.sum("n").alias("n"), *(F.kll_merge_agg_double(name, F.lit(SKETCH_K)).alias(name) for name in MARGINS)]
-    languages = groups.groupBy("lang").agg(*merged(groups))
-    everything = None  # an empty table has no quantiles
-    if not groups.isEmpty():
-        everything = groups.groupBy().agg(*merged(groups)).select(*(_threshold(F.col(name), name).alias(name) for name in MARGINS)).first()
-    own = groups.select("lang", "source", "n", *(_threshold(F.col(name), name).alias(name) for name in MARGINS))
-    upper = languages.select(F.col("lang").alias("of_lang"), F.col("n").alias("lang_n"), *(_threshold(F.col(name), name).alias(f"lang_{name}") for name in MARGINS))
-    joined = own.join(upper, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    return joined.select(
-        F.col("lang").alias("group_lang"),
-        F.col("source").alias("group_source"),
-        *(F.when(F.col("n") >= LEAST_GROUP, F.col(name)).when(F.col("lang_n") >= LEAST_GROUP, F.col(f"lang_{name}")).otherwise(F.lit(everything[name] if everything else None).cast("double")).alias(f"most_{name}") for name in MARGINS),
-    )
+    sketch = written(sketches(counted), "quality-sketches")
+    language = _leaning(sketch, ["lang"], _points(sketch, []), [])
+    group = _leaning(sketch, ["lang", "source"], _points(language, ["lang"]), ["lang"])
+    found = _placed(group, ["lang", "source"]).groupBy("lang", "source", "name").agg(value_of(_at(0.5)).alias("half"), value_of(_at(UPPER)).alias("high"))
+    of = lambda name, what: F.max(F.when(F.col("name") == name, F.col(what)))
+    limits = [(of(name, "high") + SPREADS * (of(name, "high") - of(name, "half")) + UNITS * of(size, "half")).alias(f"most_{name}") for name, size in RATIOS.items()]
+    return found.groupBy(F.col("lang").alias("group_lang"), F.col("source").alias("group_source")).agg(*limits)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -135,6 +172,6 @@ def judge(docs: DataFrame) -> DataFrame:
     limits = thresholds(counted)
     joined = counted.join(limits, F.col("lang").eqNullSafe(F.col("group_lang")) & F.col("source").eqNullSafe(F.col("group_source")), "left")
     outlying = F.lit(False)
-    for name in MARGINS:
+    for name in RATIOS:
         outlying |= F.coalesce(F.col(name) > F.col(f"most_{name}"), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & ~outlying).drop("group_lang", "group_source")

@@ -18,9 +18,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the outcome of a page is the label of its number: bad if toxic or of low quality
-    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
-    return url_filters.judge(_table(spark, sf_dir, "pages"), labels)
+    # the last number of a page's path is that of its document: a page is bad if that is toxic or of low quality
+    pages = _table(spark, sf_dir, "pages")
+    number = F.expr("try_cast(regexp_extract(path, '/([0-9]+)([.]html|/)?$', 1) AS bigint)")
+    shown = pages.select("page_id", url_filters.path_of(F.col("url")).alias("path")).select("page_id", number.alias("doc_id"))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", ((F.col("toxic") == 1) | (F.col("quality") == 0)).cast("int").alias("bad"))
+    return url_filters.judge(pages, shown.join(labels, "doc_id").select("page_id", "bad"))
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.MARGINS, *(f"most_{name}" for name in quality_rules.MARGINS)
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *quality_rules.RATIOS, *(f"most_{name}" for name in quality_rules.RATIOS)
     )
 
 
@@ -69,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """The others fit models, draw sketches or samples, or are too slow in SQL over whole
     tables; tests hold those against plain versions."""
-    return {"op2_url_filters": oracles.url_filters_sql(), "op6_substring_dedup": oracles.substring_sql(), "op9_near_dedup": oracles.near_dedup_sql()}
+    return {"op2_url_filters": oracles.url_filters_sql(), "op4_quality_rules": oracles.quality_rules_sql(), "op5_suffix_dedup": oracles.suffix_sql(), "op6_substring_dedup": oracles.substring_sql(), "op9_near_dedup": oracles.near_dedup_sql()}

@@ -12,22 +12,29 @@ last two are a listed suffix.
 
 Defined results: a null URL or one without `://` has an empty host and path; a
 null page_id is judged by its URL; a page labelled more than once is bad if one
-label says so; without any label the prior mean is 0.5 and nothing is blocked.
+label says so; without any bad label nothing is blocked.
 Repeated rows are judged one by one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .cluster import written
+
 #: (rule, verdict) of the query; a rule is a host and a path.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
-#: Suffixes of two labels under which names are registered.
-LONG_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "com.br", "co.nz", "co.in", "com.cn", "co.za"]
-#: Share of bad pages above which a host is blocked, and standard errors of the bound.
-LIMIT, ERRORS = 0.5, 1.645
+#: Labels under which countries register names, and shared hosts whose names belong to their users.
+SECOND_LEVELS = ["ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "or", "org"]
+PRIVATE_SUFFIXES = ["blogspot.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "web.app", "wordpress.com"]
+LONG_SUFFIX = f"(^|[.])(({'|'.join(SECOND_LEVELS)})[.][a-z][a-z]|{'|'.join(x.replace('.', '[.]') for x in PRIVATE_SUFFIXES)})$"
+#: A host is blocked if it is worse than LIFT times the mean with that posterior probability.
+LIFT, CERTAINTY = 1.25, 0.9
+#: Cells of the grid over a posterior's log-odds.
+GRID = 256
 #: Bounds of a prior's strength in outcomes.
 WEAKEST, STRONGEST = 2.0, 1000.0
 
@@ -55,12 +62,39 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) ->
 
 
 def _suffix(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(LONG_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(host.rlike(LONG_SUFFIX), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def _domain(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    return F.when(host.rlike(LONG_SUFFIX), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+
+
+def _exceeds(a: Column, b: Column, limit: float) -> Column:
+    """Probability that a draw from Beta(a, b) is above the limit.
+
+    The log-odds u have the density exp(a u) / (1 + exp(u))^(a + b), which is smooth for
+    all a and b.  The grid reaches eight deviations, and ten decay lengths of the tails."""
+    cut = math.log(limit / (1 - limit))
+    bound = lambda values, use: F.transform(F.array(F.struct(*(v.alias(n) for n, v in values.items()))), use)
+
+    def with_grid(p: Column) -> Column:
+        wide = 8 * F.sqrt(1 / p["a"] + 1 / p["b"])
+        left, right = wide + 10 / p["a"], wide + 10 / p["b"]
+        middle = F.log(p["a"] / p["b"])
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), middle.alias("m"), (middle - left).alias("lo"), ((left + right) / GRID).alias("h"))
+
+    def log_density(g: Column, u: Column) -> Column:
+        return g["a"] * u - (g["a"] + g["b"]) * (F.greatest(u, F.lit(0.0)) + F.log1p(F.exp(-F.abs(u))))
+
+    def summed(g: Column) -> Column:
+        cells = F.transform(F.sequence(F.lit(0), F.lit(GRID - 1)), lambda i: F.struct((g["lo"] + (i + 0.5) * g["h"]).alias("u")))
+        part = F.transform(cells, lambda c: F.struct(c["u"].alias("u"), F.exp(log_density(g, c["u"]) - log_density(g, g["m"])).alias("d")))
+        above = F.transform(part, lambda c: c["d"] * F.greatest(F.least((c["u"] - F.lit(cut)) / g["h"] + 0.5, F.lit(1.0)), F.lit(0.0)))
+        add = lambda acc, x: acc + x
+        return F.aggregate(above, F.lit(0.0), add) / F.aggregate(F.transform(part, lambda c: c["d"]), F.lit(0.0), add)
+
+    least = F.lit(1e-6)
+    return F.transform(bound({"a": F.greatest(a, least), "b": F.greatest(b, least)}, with_grid), summed)[0]
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:
@@ -85,7 +119,8 @@ def _strength(groups: DataFrame, mean: Column) -> float:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """outcomes: host, n labelled pages, bad ones of them; one row a host.  Adds the posterior and its bound."""
+    """outcomes: host, n labelled pages, bad ones of them; one row a host.  Adds the posterior mean and
+    the probability that the host is worse than LIFT times the mean."""
     hosts = outcomes.select("host", "n", "bad", _domain(F.col("host")).alias("domain"), _suffix(F.col("host")).alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -99,9 +134,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     suffixes, _ = shrunk(suffixes, mean, "suffix_mean")
     domains, _ = shrunk(domains.join(suffixes.select("suffix", "suffix_mean"), "suffix"), F.col("suffix_mean"), "domain_mean")
     hosts, m = shrunk(hosts.join(domains.select("domain", "domain_mean"), "domain"), F.col("domain_mean"), "host_mean")
+    limit = min(LIFT * (total["bad"] or 0) / total["n"], 0.99) if total["n"] else 0.0
+    if not limit:  # nothing is known to be bad
+        return hosts.withColumn("worse", F.lit(0.0))
     a, b = F.col("bad") + F.lit(m) * F.col("domain_mean"), F.col("n") - F.col("bad") + F.lit(m) * (1 - F.col("domain_mean"))
-    error = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return hosts.withColumn("bound", F.col("host_mean") - F.lit(ERRORS) * error)
+    return hosts.withColumn("worse", _exceeds(a, b, limit))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
@@ -110,8 +147,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]] =
     outcomes: page_id and bad (0 or 1) of the labelled pages."""
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = outcomes.filter("page_id IS NOT NULL AND bad IS NOT NULL").groupBy(F.col("page_id").alias("labelled")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    counts = urls.join(known, F.col("page_id") == F.col("labelled"), "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = reputation(counts).select(F.col("host").alias("of_host"), F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (F.col("bound") > LIMIT).alias("poor"))
+    # one row a host, read by every level
+    counts = written(urls.join(known, F.col("page_id") == F.col("labelled"), "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "hosts")
+    hosts = reputation(counts).select(F.col("host").alias("of_host"), F.col("n").alias("n_labelled"), F.col("bad").alias("n_bad"), (F.col("worse") >= CERTAINTY).alias("poor"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     # a hot host's pages are many rows against one: adaptive execution splits them
     return urls.join(hosts, F.col("host") == F.col("of_host"), "left").select(

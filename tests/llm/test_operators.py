@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import tracemalloc
 import warnings
@@ -66,12 +67,30 @@ def test_url_rules(spark, url, host, path, rule, verdict):
 
 
 def test_host_reputation(spark):
-    rows = [(i, f"https://bad.site.info/{i}") for i in range(60)] + [(100 + i, f"https://good.place.info/{i}") for i in range(60)] + [(300, "https://new.info/")]
+    """Verdicts follow the outcomes: swapping the labels of two hosts swaps their verdicts."""
+    rows = [(1000 * k + i, f"https://{name}.info/{i}") for k, name in enumerate(["bad.site", "good.place", "half.else"]) for i in range(60)] + [(9000, "https://new.info/"), (9001, "https://b.bad.site.info/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    outcomes = spark.createDataFrame([(i, 1) for i in range(50)] + [(100 + i, 0) for i in range(50)] + [(None, 1), (3, None), (4, 0)], "page_id long, bad int")
-    got = {r.page_id: r.verdict for r in url_filters.judge(pages, outcomes).collect()}
-    assert {got[i] for i in range(60)} == {"block"} and {got[100 + i] for i in range(60)} == {"allow"} and got[300] == "allow"
-    assert url_filters.judge(pages.limit(0), outcomes).count() == 0
+    for worst, best in ((0, 1), (1, 0)):
+        outcomes = [(1000 * worst + i, 1) for i in range(50)] + [(1000 * best + i, 0) for i in range(50)] + [(2000 + i, int(i % 5 == 0)) for i in range(50)] + [(None, 1), (1000 * best + 3, None), (1000 * worst + 4, 0)]
+        got = {r.page_id: r.verdict for r in url_filters.judge(pages, spark.createDataFrame(outcomes, "page_id long, bad int")).collect()}
+        assert {got[1000 * worst + i] for i in range(60)} == {"block"} and {got[1000 * best + i] for i in range(60)} == {"allow"}
+        assert {got[2000 + i] for i in range(60)} == {"allow"} and got[9000] == "allow"
+    # three bad pages of three are too few where hosts differ little
+    few = url_filters.judge(pages, spark.createDataFrame([(1000 * k + i, int(i % 4 == 0)) for k in range(3) for i in range(50)] + [(9001, 1)], "page_id long, bad int"))
+    assert {r.verdict for r in few.collect()} == {"allow"}
+    assert url_filters.judge(pages.limit(0), spark.createDataFrame(outcomes, "page_id long, bad int")).count() == 0
+
+
+def test_beta_posterior(spark):
+    rand = np.random.default_rng(30)
+    for a, b, limit in ((0.2, 3.0, 0.1), (1, 1, 0.3), (5, 15, 0.3), (0.05, 0.05, 0.5), (400, 1100, 0.28), (3e6, 9e6, 0.2502)):
+        got = spark.range(1).select(url_filters._exceeds(F.lit(float(a)), F.lit(float(b)), limit)).first()[0]
+        assert got == pytest.approx((rand.beta(a, b, 400_000) > limit).mean(), abs=0.006)
+
+
+@pytest.mark.parametrize(("host", "domain", "suffix"), [("a.b.co.kr", "b.co.kr", "co.kr"), ("x.com.mx", "x.com.mx", "com.mx"), ("u.github.io", "u.github.io", "github.io"), ("a.b.org", "b.org", "org"), ("xco.uk", "xco.uk", "uk"), ("", "", "")])
+def test_registered_domains(spark, host, domain, suffix):
+    assert tuple(spark.range(1).select(url_filters._domain(F.lit(host)), url_filters._suffix(F.lit(host))).first()) == (domain, suffix)
 
 
 def _base_spans(t: str) -> str:
@@ -121,6 +140,47 @@ def test_quality_rules(docs, texts, empty, clashing):
     assert quality_rules.judge(clashing).count() == len(texts)
 
 
+def test_thresholds_follow_the_group(spark):
+    """A source whose texts are full of symbols keeps them; elsewhere the same text is dropped."""
+    rand = np.random.default_rng(31)
+    plain = lambda: " ".join("".join(rand.choice(list("aeinorst"), rand.integers(2, 8))) for _ in range(120))
+    code = lambda: plain().replace(" ", " & ", int(rand.integers(20, 60)))
+    texts = {("en", "prose"): [plain() for _ in range(200)], ("en", "code"): [code() for _ in range(60)], (None, None): [plain() for _ in range(30)]}
+    odd = code()
+    for group in texts:
+        texts[group].append(odd)
+    rows = [(i, t, *group) for i, (group, t) in enumerate((g, t) for g, ts in texts.items() for t in ts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = sorted(quality_rules.judge(frame).collect(), key=lambda r: r.doc_id)
+    assert [r.kept for r, row in zip(got, rows, strict=True) if row[1] == odd] == [False, True, False]
+    assert all(r.kept for r, row in zip(got, rows, strict=True) if row[1] != odd)
+
+    def bucket(x):
+        return quality_rules.ZERO if x <= 0 else math.ceil(math.log(x) / math.log(quality_rules.GROWTH))
+
+    def at(sketch, q):  # the smallest bucket that holds the share q
+        return next(b for b in sorted(sketch) if sum(n for y, n in sketch.items() if y <= b) >= q * sum(sketch.values()))
+
+    def lean(own, above):
+        out, k = Counter(own), quality_rules.POINTS
+        for j in range(k):
+            out[at(above, (j + 0.5) / k)] += quality_rules.SHRINK / k
+        return out
+
+    def value(b):
+        return 0.0 if b == quality_rules.ZERO else quality_rules.GROWTH**b * 2 / (1 + quality_rules.GROWTH)
+
+    for name, size in quality_rules.RATIOS.items():
+        for lang, source in texts:
+            found = []
+            for x in (lambda r: r[name], lambda r: 1 / max(r[size], 1)):  # noqa: B023
+                own, up, top = (Counter(bucket(x(r)) for r in got if (r.lang, r.source)[:k] == (lang, source)[:k]) for k in (2, 1, 0))  # noqa: B023
+                found.append(lean(own, lean(up, top)))
+            high, half = value(at(found[0], quality_rules.UPPER)), value(at(found[0], 0.5))
+            want = high + quality_rules.SPREADS * (high - half) + quality_rules.UNITS * value(at(found[1], 0.5))
+            assert all(r[f"most_{name}"] == pytest.approx(want, rel=1e-9) for r in got if (r.lang, r.source) == (lang, source))
+
+
 @pytest.mark.parametrize("budget", [10**6, 50, 7])
 def test_suffixes_by_external_induction(budget):
     """Order and common prefixes against sorted slices; small budgets put every queue and array on disk."""
