@@ -552,6 +552,35 @@ def test_bpe_of_odd_characters():
         assert np.frombuffer(ids, "<u4").tolist() == encoding.encode_ordinary(text) and raw == text.encode(), text
 
 
+@pytest.mark.parametrize("kind", ["pairs", "one", "random", "wide", "short"])
+def test_bpe_of_one_very_long_piece(kind):
+    """100,000 characters of one class, or 20,000 where every pair is another one."""
+    public = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    ranks = byte_bpe.load_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    rand = np.random.default_rng(40)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    text = {"pairs": "ab" * 50_000, "one": "=" * 100_001, "random": "".join(rand.choice(letters, 20_000)), "wide": "".join(map(chr, rand.integers(0x4E00, 0x9FFF, 4_000))), "short": " ".join("".join(rand.choice(letters[:4], n)) for n in (199, 200, 201, 202, 650))}[kind]
+    (ids, raw), *_ = byte_bpe.Encoder(ranks, public.PATTERN).encode([text])
+    assert raw == text.encode() and np.frombuffer(ids, "<u4").tolist() == tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+
+
+def test_bpe_where_a_merge_makes_a_pair_of_lower_rank():
+    """Random vocabularies, against the merging of one pair at a time."""
+    rand = np.random.default_rng(41)
+    for _ in range(12):
+        tokens = [bytes([b]) for b in range(256)]
+        more = {bytes(rand.choice(list(b"abc"), rand.integers(2, 6)).tolist()) for _ in range(40)}
+        ranks = {t: i for i, t in enumerate(tokens + sorted(more, key=lambda t: rand.random()))}
+        text = bytes(rand.choice(list(b"abc"), 400).tolist()).decode()
+        parts = [bytes([b]) for b in text.encode()]
+        while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in ranks]:
+            _, i = min(pairs)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ids, raw = byte_bpe.Encoder(ranks, "[a-z]+").encode([text])[0]
+        assert raw == text.encode() and np.frombuffer(ids, "<u4").tolist() == [ranks[x] for x in parts]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     pipeline = pytest.importorskip("corpus_pipeline")
