@@ -35,16 +35,18 @@ QUERY_BYTES = 400_000
 LONG_PIECE = 200
 
 _RESULT = """
-    SELECT s.w, list(s.id ORDER BY s.pos) AS ids, string_agg(v.hex, '' ORDER BY s.pos) AS hex
-    FROM last s JOIN vocabulary v ON v.id = s.id GROUP BY s.w
+    SELECT w, list(id) AS ids, string_agg(hex, '') AS hex
+    FROM (SELECT s.w, s.pos, s.id, v.hex FROM last s JOIN vocabulary v ON v.id = s.id ORDER BY s.w, s.pos) GROUP BY w
 """
-#: Every step contracts each piece's leftmost pair of least rank.
+#: Every step contracts each piece's leftmost pair of least rank.  One thread runs it, so the
+#: aggregates of the result meet their rows in order.
 _ENCODE = f"""
     WITH RECURSIVE state AS (SELECT w, pos, id, 0 AS it FROM start UNION ALL
       (WITH x AS MATERIALIZED (SELECT w, pos, id, it, lag(pos) OVER near AS before, lead(id) OVER near AS after FROM state WINDOW near AS (PARTITION BY w ORDER BY pos)),
-      b AS (SELECT x.w, min(m.rank * 4294967296 + x.pos) AS best FROM x JOIN merges m ON m.l = x.id AND m.r = x.after GROUP BY x.w)
-      SELECT x.w, x.pos, CASE WHEN x.pos = b.best % 4294967296 THEN b.best // 4294967296 ELSE x.id END AS id, x.it + 1 AS it
-      FROM x JOIN b ON b.w = x.w WHERE x.before IS DISTINCT FROM b.best % 4294967296)),
+      b AS (SELECT w, (best >> 32)::INT AS rank, (best & 4294967295)::INT AS at
+            FROM (SELECT x.w, min((m.rank::BIGINT << 32) | x.pos) AS best FROM x JOIN merges m ON m.l = x.id AND m.r = x.after GROUP BY x.w))
+      SELECT x.w, x.pos, CASE WHEN x.pos = b.at THEN b.rank ELSE x.id END AS id, x.it + 1 AS it
+      FROM x JOIN b ON b.w = x.w WHERE x.before IS DISTINCT FROM b.at)),
     last AS (SELECT s.* FROM state s JOIN (SELECT w, max(it) AS it FROM state GROUP BY w) e ON s.w = e.w AND s.it = e.it)
     {_RESULT}
 """
@@ -91,14 +93,14 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern, self.plain = regex.compile(pattern), _plain_pattern(pattern)
         self.ranks = ranks
-        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.ids: dict[str, bytes] = {}
         self.raw: dict[str, bytes] = {}  # decoded bytes of pieces that differ from the piece's own
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         l, r, rank = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [], [])
-        self._table("merges", {"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(rank, pa.int64())})
-        self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks])})
+        self._table("merges", {"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(rank, pa.int32())})
+        self._table("vocabulary", {"id": pa.array(list(ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in ranks])})
 
     def _table(self, name: str, columns: dict[str, pa.Array]) -> None:
         self.db.register("arrived", pa.table(columns))
@@ -114,7 +116,7 @@ class Encoder:
         if long:
             last = at + 1 == np.repeat(size, size)
             columns |= {"prv": at - 1, "nxt": np.where(last, -1, at + 1), "after": np.append(ids[1:], -1)}
-        self._table("start", {name: pa.array(x) for name, x in columns.items()})
+        self._table("start", {name: pa.array(x.astype(np.int32)) for name, x in columns.items()})
         if long:
             self.db.execute("CREATE OR REPLACE TABLE start AS SELECT w, pos, id, prv, nxt, CASE WHEN nxt >= 0 THEN m.rank END AS rnk FROM start LEFT JOIN merges m ON m.l = id AND m.r = after")
 

@@ -174,8 +174,9 @@ def returned(content: DataFrame, told: list[DataFrame], use: Callable, schema: s
 
 def by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted distinct keys, as each bucket gets them: places into keys."""
-    b = (keys % U64(buckets)).astype(np.int64)
+    b = (keys % U64(buckets)).astype(np.uint16 if buckets <= 2**16 else np.int64)  # sixteen bits: a radix sort
     order = np.argsort(b, kind="stable")
+    b = b.astype(np.int64)
     at = np.append(np.flatnonzero(np.diff(b[order], prepend=-1)), len(order))
     for i, j in zip(at[:-1], at[1:], strict=True):
         yield int(b[order[i]]), order[i:j]
@@ -227,6 +228,17 @@ class Rolling:
         return mix((self.sums[lo + k : n + k] - self.sums[lo:n]) * self.down[lo:n] + U64(k)) if n > lo else np.zeros(0, U64)
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct value stands first or elsewhere, which of them each place holds, and how many hold each."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    new[1:] = x[order[1:]] != x[order[:-1]]
+    place = np.empty(len(x), np.int64)
+    place[order] = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    return order[at], place, np.diff(np.append(at, len(x)))
+
+
 def least_windows(roll: Rolling, k: int, w: int, block: int = 50_000) -> np.ndarray:
     """The least hash of each w runs of k items, by start; blocks stay in cache."""
     n = len(roll.sums) - k - w + 1

@@ -193,20 +193,20 @@ class _Runs:
     """The runs of a block of whole strings, and what follows from them."""
 
     def __init__(self, text: np.ndarray, bits: int):
+        short = np.int32 if bits < 31 and len(text) < 2**31 else np.int64
         self.bits = bits + _RUN_BITS  # of a column: a symbol, and its run so that order is kept
         self.fit = 63 // self.bits
         new = np.ones(len(text), bool)
         new[1:] = (text[1:] != text[:-1]) | (text[1:] == 0)
-        self.head = np.flatnonzero(new)
-        self.symbol = text[self.head].astype(np.int64)
-        self.end = np.append(self.head[1:], len(text))
+        self.head = np.flatnonzero(new).astype(short)
+        self.symbol = text[self.head].astype(short)
+        self.end = np.append(self.head[1:], short(len(text)))
         self.small = self.symbol == 0
         self.small[:-1] |= self.symbol[:-1] < self.symbol[1:]
         star = self.symbol == 0
         star[1:] |= self.small[1:] & ~self.small[:-1]
         self.star = np.flatnonzero(star)
-        self.segment = np.cumsum(star) - star  # of a run that is no S*: ended by that S*
-        self.segment += star
+        self.segment = np.cumsum(star, dtype=short)  # the S* run that ends it; an S* run belongs to the next one
         column = self.column(self.symbol, self.end - self.head, self.small)
         self.packed = np.zeros(len(column), np.int64)
         for k in range(min(self.fit, len(column))):
@@ -215,7 +215,7 @@ class _Runs:
     def column(self, symbol: np.ndarray, run: np.ndarray, small: np.ndarray) -> np.ndarray:
         """A long L run is larger than a short one, a long S run smaller; L comes before S."""
         run = np.minimum(run, LONGEST_RUN)
-        return (symbol << np.int64(_RUN_BITS)) | np.where(small, 127 - run, run)
+        return (symbol.astype(np.int64) << _RUN_BITS) | np.where(small, 127 - run, run)
 
     def words(self, run: np.ndarray, count: np.ndarray, first: np.ndarray | None = None) -> list[np.ndarray]:
         """Columns of `count` runs from each run on, packed; first: in place of the first column."""
@@ -343,10 +343,21 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
     bits = max(int(max(int(text[lo:hi].max()) for lo, hi in blocks)).bit_length(), 1)
     # names of the substrings between S* runs
     queue, at, counts = Queue(store.budget), 0, []
+    # runs are kept from pass to pass if the text is one that may be held in memory
+    kept: dict[int, _Runs] | None = {} if len(text) <= store.budget else None
+
+    def runs_of(lo: int, hi: int) -> _Runs:
+        r = kept.get(lo) if kept is not None else None
+        if r is None:
+            r = _Runs(text[lo:hi], bits)
+            if kept is not None:
+                kept[lo] = r
+        return r
+
     most = len(text) // 2 + sum(int((text[lo:hi] == 0).sum()) for lo, hi in blocks)  # of S* runs
     place, wanted = store.array(most, np.int64), store.array(most, bool)
     for lo, hi in blocks:
-        r = _Runs(text[lo:hi], bits)
+        r = runs_of(lo, hi)
         m = len(r.star)
         counts.append(m)
         place[at : at + m] = r.head[r.star] + lo
@@ -410,7 +421,7 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
     total = ends_first + len(seeds)
     large, size, at = Queue(store.budget), 0, 0
     for (lo, hi), m in zip(blocks, counts, strict=True):
-        r, own = _Runs(text[lo:hi], bits), need[lo:hi]
+        r, own = runs_of(lo, hi), need[lo:hi]
         run, pos = _positions(r, ~r.small, own, lead=True)
         seg = r.segment[run]
         keep = wanted[at : at + m][seg]
@@ -427,7 +438,7 @@ def sort_suffixes(text: np.ndarray, need: np.ndarray, depth: int, budget: int =
         where[some] = np.arange(lo, lo + len(some))
     small, s_size, at = Queue(store.budget), 0, 0
     for (lo, hi), m in zip(blocks, counts, strict=True):
-        r, own = _Runs(text[lo:hi], bits), need[lo:hi]
+        r, own = runs_of(lo, hi), need[lo:hi]
         top = _tops(r)
         run, pos = _positions(r, r.small & (r.symbol > 0), own, lead=False)
         if len(run):

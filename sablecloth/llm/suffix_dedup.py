@@ -67,12 +67,12 @@ class Anchors:
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, sorted, and the documents of the chunk that hold each."""
-        order = np.argsort(self.anchor, kind="stable")  # documents stay in order within an anchor
-        a, d = self.anchor[order], self.doc[order]
-        new = np.ones(len(a), bool)
+        key = np.sort(self.anchor << U64(12) | self.doc.astype(U64))  # a chunk has 4,096 documents at most
+        other = np.ones(len(key), bool)
+        other[1:] = key[1:] != key[:-1]
+        a = key >> U64(12)
+        new = np.ones(len(key), bool)
         new[1:] = a[1:] != a[:-1]
-        other = new.copy()
-        other[1:] |= d[1:] != d[:-1]
         at = np.flatnonzero(new)
         return a[at], np.add.reduceat(other.astype(np.int64), at) if len(at) else at
 
@@ -106,9 +106,8 @@ def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tup
     hot_doc = np.repeat(a.doc[hot], a.stop[hot] - a.run[hot] + 1)
     shard = np.concatenate([a.anchor[some], a.roll.runs(each, each + LENGTH)])
     first, last, doc = np.concatenate([first, each]), np.concatenate([last, each + LENGTH]), np.concatenate([a.doc[some], hot_doc])
-    text, head, place = np.unique(a.roll.runs(first, last), return_index=True, return_inverse=True)
-    order = np.argsort(place, kind="stable")  # who has a text, text by text
-    count = np.bincount(place, minlength=len(text))
+    head, place, count = c.distinct(a.roll.runs(first, last))
+    order = np.argsort(place)  # who has a text, text by text
     before = np.cumsum(count) - count
     ids = np.array([LEAST if x is None else x for x in chunk.ids], np.int64)
     size = (last - first)[head]
