@@ -32,8 +32,8 @@ _CHUNK_BITS = 20
 _ARROW = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("data", pa.binary())])
 
 
-def pack(x: object) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(x, protocol=5))
+def pack(x: object, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(x, protocol=5))
 
 
 def unpack(b: bytes) -> object:
@@ -123,7 +123,7 @@ def gather(docs: DataFrame, name: str) -> DataFrame:
         task = TaskContext.get()
         home, k = home_of(task.partitionId() if task else 0, buckets), 0
         for chunk in _gathered(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([(home << _CHUNK_BITS) + k], pa.int64()), pa.array([pack(chunk)], pa.binary())], names=["home", "chunk", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([(home << _CHUNK_BITS) + k], pa.int64()), pa.array([pack(chunk, 3)], pa.binary())], names=["home", "chunk", "data"])
             k += 1
 
     buckets = parts(docs.sparkSession)
@@ -205,6 +205,9 @@ def counts_told(keys: np.ndarray, told: dict[int, bytes], buckets: int) -> np.nd
     return out
 
 
+_ODD = U64(0xBF58476D1CE4E5B9)
+
+
 class Rolling:
     """Hashes of runs of a sequence: polynomials modulo 2**64, from sums of prefixes."""
 
@@ -225,7 +228,14 @@ class Rolling:
     def windows(self, k: int, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """Hashes of runs of k items, by start (from lo to before hi)."""
         n = len(self.sums) - k if hi is None else hi
-        return mix((self.sums[lo + k : n + k] - self.sums[lo:n]) * self.down[lo:n] + U64(k)) if n > lo else np.zeros(0, U64)
+        if n <= lo:
+            return np.zeros(0, U64)
+        x = self.sums[lo + k : n + k] - self.sums[lo:n]
+        x *= self.down[lo:n]
+        x ^= x >> U64(29)
+        x *= _ODD
+        x ^= x >> U64(32)
+        return x
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -106,7 +106,8 @@ def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tup
     hot_doc = np.repeat(a.doc[hot], a.stop[hot] - a.run[hot] + 1)
     shard = np.concatenate([a.anchor[some], a.roll.runs(each, each + LENGTH)])
     first, last, doc = np.concatenate([first, each]), np.concatenate([last, each + LENGTH]), np.concatenate([a.doc[some], hot_doc])
-    head, place, count = c.distinct(a.roll.runs(first, last))
+    text = a.roll.runs(first, last)
+    head, place, count = c.distinct(text)
     order = np.argsort(place)  # who has a text, text by text
     before = np.cumsum(count) - count
     ids = np.array([LEAST if x is None else x for x in chunk.ids], np.int64)
@@ -115,7 +116,7 @@ def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tup
     for b, i in c.by_bucket(shard[head], buckets):
         who = order[_flat(before[i], count[i])]
         docs, own = np.unique(doc[who], return_inverse=True)
-        out.append((b, c.pack((size[i].astype(np.uint8).tobytes(), chunk.data[_flat(first[head[i]], size[i])].tobytes(), count[i].astype(np.uint32).tobytes(), ids[docs].tobytes(), own.astype(np.uint16).tobytes(), first[who].astype(np.uint32).tobytes()))))
+        out.append((b, c.pack((text[head[i]].tobytes(), size[i].astype(np.uint8).tobytes(), chunk.data[_flat(first[head[i]], size[i])].tobytes(), count[i].astype(np.uint32).tobytes(), ids[docs].tobytes(), own.astype(np.uint16).tobytes(), first[who].astype(np.uint32).tobytes()))))
     return out
 
 
@@ -139,11 +140,12 @@ class Shard:
 
     def __init__(self, budget: int = BUDGET):
         self.budget = budget
-        self.size, self.text, self.count, self.doc, self.place = (Growing(k) for k in (np.uint8, np.uint8, np.uint32, np.int64, np.uint32))
+        self.hash, self.size, self.text, self.count, self.doc, self.place = (Growing(k) for k in (np.int64, np.uint8, np.uint8, np.uint32, np.int64, np.uint32))
         self.chunks: list[tuple[int, int]] = []  # number and occurrences of each question
 
     def add(self, number: int, asked: bytes) -> None:
-        size, text, count, ids, own, place = c.unpack(asked)
+        hashes, size, text, count, ids, own, place = c.unpack(asked)
+        self.hash.add(np.frombuffer(hashes, np.int64))
         own = np.frombuffer(own, np.uint16)
         self.size.add(np.frombuffer(size, np.uint8))
         self.text.add(np.frombuffer(text, np.uint8))
@@ -154,13 +156,12 @@ class Shard:
 
     def _distinct(self, size: np.ndarray, begin: np.ndarray, data: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of distinct texts, and the first stretch of each."""
-        queue, n = Queue(self.budget), len(size)
+        queue, n, hashes = Queue(self.budget), len(size), self.hash.read()
         step = max(self.budget // 64, 1)
         for lo in range(0, n, step):
             hi = min(lo + step, n)
-            some = data[begin[lo] : begin[hi - 1] + size[hi - 1]]
-            h = c.Rolling(_BYTES[some]).runs(begin[lo:hi] - begin[lo], begin[lo:hi] - begin[lo] + size[lo:hi])
-            queue.push([(h >> U64(1)).astype(np.int64), size[lo:hi].astype(np.int64)], np.arange(lo, hi), np.arange(lo, hi))
+            queue.push([hashes[lo:hi] >> np.int64(1), size[lo:hi].astype(np.int64)], np.arange(lo, hi), np.arange(lo, hi))
+        eight = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
         number, first, k, last = store.array(n, np.int64), store.array(n, np.int64), 0, None
         for words, _, at in queue.pop():
             same = np.ones(len(at), bool)
@@ -169,11 +170,13 @@ class Shard:
             # equal hashes: the texts themselves are compared
             pair = np.flatnonzero(same)
             before = np.concatenate([[last_at if last else 0], at[:-1]])[pair]
-            x, y = _flat(begin[at[pair]], size[at[pair]].astype(np.int64)), _flat(begin[before], size[at[pair]].astype(np.int64))
-            wrong = data[x] != data[y]
-            if wrong.any():
-                owner = np.repeat(np.arange(len(pair)), size[at[pair]])
-                same[pair[np.unique(owner[wrong])]] = False
+            x, y, own = begin[at[pair]], begin[before], size[at[pair]].astype(np.int64)
+            for j in range(0, int(own.max(initial=0)), 8):  # eight bytes at a time, the last ones at the end of the text
+                more = np.flatnonzero(own > j)
+                to = np.minimum(own[more] - 8, j)
+                wrong = eight[x[more] + to] != eight[y[more] + to]
+                if wrong.any():
+                    same[pair[more[wrong]]] = False
             number[at] = k + np.cumsum(~same) - 1
             new = at[~same]
             first[k : k + len(new)] = new
