@@ -229,11 +229,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield _documents(chunk, w, *_verified(chunk, w, first, last, told[1], buckets))
 
     content = c.gather(docs, "chunks")
-    runs = written(c.answered(c.asking(content, ask_runs), c.answer_counts), "runs")
+    runs = c.answered(c.asking(content, ask_runs), c.answer_counts)
     nodes = written(c.returned(content, [runs], ask_nodes, c.SCHEMA), "nodes")
     joined = c.answered(nodes, answer_nodes)
     paths = written(c.returned(content, [nodes.filter(f"bucket = {c.STATE}"), joined], ask_paths, c.SCHEMA), "paths")
-    forget(runs, nodes)
+    forget(nodes)
     return c.returned(content, [paths.filter(f"bucket = {c.STATE}"), c.answered(paths, answer_paths)], finish, _RESULT)
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import chunks as c
-from .cluster import forget, parts, written
+from .cluster import parts
 from .suffix_array import BUDGET, Queue, Store, sort_suffixes
 from .textbytes import U64, mix, prefix
 
@@ -293,8 +293,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         yield _documents(chunk, list(told[0].values()))
 
     content = c.gather(docs, "chunks")
-    anchors = written(c.answered(c.asking(content, ask_anchors), answer_anchors), "anchors")
+    # every answer is used once: the steps are one plan, and only the chunks are written
+    anchors = c.answered(c.asking(content, ask_anchors), answer_anchors)
     shards = c.returned(content, [anchors], ask_shards, c.SCHEMA).repartitionById(buckets, F.col("bucket"))
-    gone = written(shards.mapInArrow(_answer_shards, c.SCHEMA).withColumn("bucket", F.spark_partition_id()), "removed")
-    forget(anchors)
+    gone = shards.mapInArrow(_answer_shards, c.SCHEMA).withColumn("bucket", F.spark_partition_id())
     return c.returned(content, [gone], finish, _RESULT)
