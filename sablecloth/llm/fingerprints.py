@@ -165,12 +165,19 @@ def _fingerprint_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         )
 
 
-def _place(key: Column, bounds: list[int], at: int = 0) -> Column:
-    """How many bounds are at most the key: a search tree of conditions."""
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most the key, by bisection of a constant array."""
     if not bounds:
-        return F.lit(at)
-    m = len(bounds) // 2
-    return F.when(key < F.lit(bounds[m]), _place(key, bounds[:m], at)).otherwise(_place(key, bounds[m + 1 :], at + m + 1))
+        return F.lit(0)
+    table = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+
+    def halved(at: Column, _: Column) -> Column:
+        middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        over = F.get(table, middle) <= key
+        return F.when(at["lo"] >= at["hi"], at).otherwise(F.struct(F.when(over, middle + 1).otherwise(at["lo"]).alias("lo"), F.when(over, at["hi"]).otherwise(middle).alias("hi")))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halved, lambda at: at["lo"])
 
 
 def fingerprint_with_next(docs: DataFrame) -> DataFrame:
@@ -183,18 +190,15 @@ def fingerprint_with_next(docs: DataFrame) -> DataFrame:
     than its range."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
-    n = min(parts(spark), 4096)
+    n = parts(spark)
     cuts = rows.select("key").stat.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = sorted({int(c) for c in cuts})
-    place = _place(F.col("key"), bounds)
-    heads = sorted((r["place"], r["head"]) for r in rows.groupBy(place.alias("place")).agg(F.min("key").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
-    to_before = None
-    for head, p in before.items():
-        to_before = (F if to_before is None else to_before).when(F.col("key") == F.lit(head), F.lit(p))
-    copies = F.array(F.struct(place.alias("place"), F.lit(False).alias("copy")))
-    if to_before is not None:
-        copies = F.when(F.col("key").isin(list(before)), F.concat(copies, F.array(F.struct(to_before.alias("place"), F.lit(True).alias("copy"))))).otherwise(copies)
-    dealt = rows.select("*", F.explode(copies).alias("to")).select("doc_id", "text", "key", "to.*")
+    placed = rows.withColumn("place", _place(F.col("key"), bounds))
+    # a row a range: as many as there are shuffle partitions, whatever the input
+    heads = sorted((r["place"], r["head"]) for r in placed.groupBy("place").agg(F.min("key").alias("head")).collect())
+    before = spark.createDataFrame([(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)], "head long, before int")
+    joined = placed.join(F.broadcast(before), F.col("key") == F.col("head"), "left")
+    own, copy = (F.struct(F.col(c).alias("place"), F.lit(what).alias("copy")) for c, what in (("place", False), ("before", True)))
+    dealt = joined.select("doc_id", "text", "key", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to")).select("doc_id", "text", "key", "to.*")
     ordered = dealt.repartitionById(len(bounds) + 1, F.col("place").cast("int")).sortWithinPartitions("copy", "key", "text")
     return ordered.select("doc_id", "text", "copy").mapInArrow(_fingerprint_partition, _SCHEMA)

@@ -1,11 +1,12 @@
 """Quality classifier: attention-based multiple-instance learning.
 
-A document is a bag of passages of 64 words.  Every passage is encoded by a small
+A document is a bag of passages of 64 words.  Every passage (shares of kinds of
+characters and words, hashed three-byte runs and hashed words) is encoded by a small
 network, a gate weighs the passages (softmax of w . tanh(Vh) * sigmoid(Uh)), and
 the weighted mean is scored.  Labels exist for documents only; the gate learns
 which passages decide them.  The model is fitted with numpy on the driver over a
 bounded sample of labelled rows (FIT_DOCUMENTS, the rows of least hash), with all
-passages of each (18 numbers for 64 words); scoring runs over all documents.  Only the text is an input.
+passages of each (82 numbers for 64 words); scoring runs over all documents.  Only the text is an input.
 
 Defined results: a null or empty text is one empty passage and gets a score;
 labels that are null or whose document is missing teach nothing; repeated labels
@@ -40,7 +41,11 @@ _KINDS[97:123] = 7
 _KINDS[128:] = 8
 _KINDS[[0x0A, 0x0D]] = 9
 _N_KINDS = 10
-FEATURES = _N_KINDS + 8
+_SHARES = _N_KINDS + 8
+#: Buckets of hashed runs of three bytes and of hashed words of a passage, and their weight.
+GRAMS, WORDS, HASHED = 48, 16, 4.0
+FEATURES = _SHARES + GRAMS + WORDS
+_ODD = U64(0x9E3779B97F4A7C15)
 
 
 def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +86,24 @@ def passages(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x[:, _N_KINDS] /= 10
     x[:, _N_KINDS + 6] = np.log1p(n) / 5
     x[:, _N_KINDS + 7] = n == 0
+    # shares of hashed three-byte runs (lower-cased, of the passage a run begins in) and words
+    if len(data) > 2:
+        low = np.where((data >= 65) & (data <= 90), data | 32, data).astype(U64)
+        gram = ((low[:-2] << U64(16) | low[1:-1] << U64(8) | low[2:]) * _ODD >> U64(32)) % U64(GRAMS)
+        of = np.repeat(np.arange(len(row)), np.maximum(hi - lo, 0))[: len(gram)]
+        x[:, _SHARES : _SHARES + GRAMS] = _shares(of[: len(gram)], gram[: len(of)], len(row), GRAMS)
+    if len(hashes):
+        of = np.repeat(np.arange(len(row)), end - begin)
+        x[:, _SHARES + GRAMS :] = _shares(of, hashes % U64(WORDS), len(row), WORDS)
     return x, at
 
 
+def _shares(of: np.ndarray, bucket: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """Square roots of the shares of buckets within each passage."""
+    count = np.bincount(of * buckets + bucket.astype(np.int64), minlength=n * buckets).reshape(n, buckets)
+    return HASHED * np.sqrt(count / np.maximum(count.sum(axis=1, keepdims=True), 1))
+
+
 class Model:
     """Weights of the encoder, the gate and the score; numbers of inputs are standardised first."""
 

@@ -4,8 +4,8 @@ Patterns give the base spans.  The method looks at every run of 20 or more
 characters of the base-64 alphabets: it infers the encoding (hexadecimal, base 32,
 base 36, base 64), tests the symbols for uniformity (chi-squared), for runs above
 and below the middle, and for serial correlation, and combines the three by
-Fisher's method.  Runs without digits are ordinary long words; they serve as
-decoys.  Within each class of length, the cut is the strictest score at which
+Fisher's method.  Runs without digits whose capitals stand as in words and names serve
+as decoys (a random run of one case alone is one too, and isn't reported).  Within each class of length, the cut is the strictest score at which
 decoys are at most FALSE_SHARE as many as candidates: false discoveries are
 controlled where tests are weak (short tokens) and where they are strong alike.
 DataFrame functions only; the counts behind the cuts cover all documents.
@@ -29,6 +29,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ASSIGN_WORDS = ["password", "passwd", "secret", "token", "apikey", "api_key"]
 ACCESS, HEX, RUN = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{20,}"
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+#: Capitals that don't stand as in words: two of them beside a small letter.
+ODD_CASE = "[a-z][A-Z]{2}|[A-Z]{2}[a-z]"
 #: Upper ends of the classes of length; false discoveries a candidate; least combined p.
 LENGTHS, FALSE_SHARE, LEAST_P = [24, 32, 48, 80], 0.05, 0.01
 #: Bins of -log10 p, a tenth each.
@@ -84,7 +86,7 @@ def _scored(runs: Column) -> Column:
         lambda x: F.struct(
             x["s"].alias("s"),
             x["e"].alias("e"),
-            (~x["t"].rlike("[0-9]")).alias("decoy"),
+            (~x["t"].rlike(f"[0-9]|{ODD_CASE}")).alias("decoy"),
             _alphabet(F.regexp_replace(x["t"], "=+$", "")).alias("abc"),
             F.translate(F.regexp_replace(x["t"], "=+$", ""), "-_", "+/").alias("t"),
         ),

@@ -38,6 +38,39 @@ def test_fingerprints(spark, docs, texts, empty, clashing):
     assert fingerprints.fingerprint_with_next(same).count() == 3
 
 
+def test_fingerprints_against_plain_python(spark, texts, docs):
+    """near_edited and near_next are the shares of equal samples, sample by sample from the definition."""
+    got = {r.doc_id: r for r in fingerprints.fingerprint_with_next(docs).collect()}
+
+    def plain(text):
+        terms, weights = fingerprints.weighted_terms([text.encode()])
+        keys = fingerprints.mix(terms & np.uint64(2**52 - 1))
+        out = []
+        for k in range(fingerprints.SAMPLES):
+            best = None
+            for key, w in zip(keys.tolist(), weights.tolist(), strict=True):
+                x = key * int(fingerprints._ODD[k]) % 2**64
+                x = (x ^ x >> 32) * int(fingerprints._SPREAD) % 2**64
+                r, ln_c, b = fingerprints._R[x >> 48], fingerprints._LN_C[x >> 32 & 0xFFFF], np.float32((x & 0xFFFFFFFF) * 2.0**-32)
+                t = np.floor(np.float32(np.log(w)) / r + b) if w > 1 else 0
+                v = ln_c - r * (t - b + 1)
+                if best is None or v < best[0]:
+                    best = (v, (key, int(t)))  # a sample is a term and its t
+            out.append(best and best[1])
+        return out
+
+    some = [0, 3, 5, 7, 9, 12, 14, 15]
+    edited = {i: (texts[i] or "")[: len(texts[i] or "") - len(texts[i] or "") // 4] + (texts[i + 1] or "")[: len(texts[i] or "") // 4] for i in some}
+    for i in some:
+        a, b, c = plain(texts[i] or ""), plain(edited[i]), plain(texts[i + 1] or "")
+        share = lambda x, y: float(np.mean([p == q for p, q in zip(x, y, strict=True)]))
+        assert got[i].near_edited == pytest.approx(share(a, b), abs=0.035) and got[i].near_next == pytest.approx(share(a, c), abs=0.035), i
+
+
+def test_many_ranges(spark):
+    assert [r.p for r in spark.range(0, 6000, 7).select(fingerprints._place(F.col("id"), list(range(0, 6000, 1))).alias("p")).collect()] == [i + 1 for i in range(0, 6000, 7)]
+
+
 def test_collision_rate_is_generalised_jaccard():
     rand = np.random.default_rng(2)
     terms = rand.integers(0, 2**63, 400).astype(np.uint64)
@@ -117,6 +150,14 @@ def test_secret_scans(spark, empty):
     assert secret_scans.scan(empty, "doc_id").count() == 0
 
 
+def test_letters_only_secrets(spark):
+    rand = np.random.default_rng(33)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    rows = [(i, f"key {''.join(rand.choice(letters, 44))} end") for i in range(4)] + [(10 + i, t) for i, t in enumerate(["someOrdinaryIdentifierOfAProgram", "thononinghaoutinganderthing", "ANOTHER_CONSTANT_OF_A_PROGRAM", "src/main/java/org/Example/App"] * 3)]
+    got = {r.doc_id: r.n for r in secret_scans.scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").select("doc_id", F.size("random").alias("n")).collect()}
+    assert all(got[i] == (i < 10) for i, _ in rows)
+
+
 def test_redaction_keeps_columns(clashing, spark):
     rows = spark.createDataFrame([(1, "a token=abcdefgh12 b", 20), (2, None, None)], "doc_id long, text string, n_chars long").withColumn("runs", F.lit(1)).withColumn("_row", F.lit(2))
     got = {r.doc_id: r for r in secret_scans.redact(rows).collect()}
