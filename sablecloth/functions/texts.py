@@ -41,7 +41,7 @@ def find_all(text: str, rules: tuple) -> list[tuple]:
         raise LimitError("max_text_chars", MAX_TEXT_CHARS)
     out = []
     for k, rule in enumerate(rules):
-        for start, end, prefix, value, reason in rule.find(text):
+        for start, end, prefix, value, reason in _found(rule, text, MAX_MATCHES + 1 - len(out)):
             if not 0 <= start < end <= len(text):
                 raise LimitError("rule_span", len(text))
             out.append((start, start - end, k, rule, prefix, value, reason))
@@ -50,6 +50,12 @@ def find_all(text: str, rules: tuple) -> list[tuple]:
     return out
 
 
+def _found(rule, text: str, most: int):  # noqa: ANN001, ANN202
+    """A rule's matches; rules that can stop early are told how many are of use."""
+    limited = getattr(rule, "find_limited", None)
+    return limited(text, most) if callable(limited) else rule.find(text)
+
+
 def resolve(matches: list[tuple]) -> list[tuple]:
     """Earliest first, longest at one start, then in order of the rules; what overlaps goes."""
     out, last = [], -1
@@ -94,7 +100,8 @@ def _matches(text: Column, rule: Rule, part: Part, k: int) -> Column:
     java = part.for_java
     found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(java), F.lit(part.value_group)) if part.value_group else found
-    prefix = F.regexp_extract_all(text, F.lit(java), F.lit(part.prefix_group)) if part.prefix_group else F.transform(found, lambda _: F.lit(""))
+    # what stays is what stands before the value, so the pattern needn't run for it
+    prefix = F.zip_with(found, value, lambda m, v: F.substr(m, F.lit(1), F.length(m) - F.length(v))) if part.prefix_group else F.transform(found, lambda _: F.lit(""))
     rows = F.arrays_zip(F.split(text, java, -1).alias("gap"), found.alias("found"), value.alias("value"), prefix.alias("prefix"))
     name, category, reason, ord_ = F.lit(rule.name), F.lit(rule.category), F.lit(part.reason), F.lit(k)
 
@@ -118,7 +125,9 @@ def _python_matches(text: Column, rule, k: int) -> Column:  # noqa: ANN001
         out = []
         for t in texts:
             try:
-                out.append([] if t is None or len(t) > MAX_TEXT_CHARS else [{"start": s, "size": e - s, "ord": k, "rule": rule.name, "category": rule.category, "prefix": p, "value": v, "reason": r} for s, e, p, v, r in rule.find(t)])
+                # find_all() also refuses spans that lie outside of the text
+                found = [] if t is None or len(t) > MAX_TEXT_CHARS else find_all(t, (rule,))
+                out.append([{"start": s, "size": -minus, "ord": k, "rule": rule.name, "category": rule.category, "prefix": p, "value": v, "reason": r} for s, minus, _, _, p, v, r in found])
             except LimitError:
                 out.append(None)
         return pd.Series(out)
@@ -144,8 +153,8 @@ def matches(text: Column, policy) -> Column:  # noqa: ANN001
     return F.when(F.size(everything) == 0, _none(MATCH)).when(F.size(everything) > MAX_MATCHES, F.lit(None).cast(f"array<{MATCH}>")).otherwise(kept)
 
 
-def masked(text: Column, found: Column, policy) -> Column:  # noqa: ANN001
-    """struct<cleaned, findings> of a text and its resolved matches."""
+def masked(text: Column, found: Column, policy, shown: bool = True) -> Column:  # noqa: ANN001
+    """struct<cleaned, findings> of a text and its resolved matches; shown: whether the cleaned text is of use."""
     strategy = policy.masking
     if getattr(strategy, "native", False):
         with_mask = F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + m["size"]).alias("end"), m["rule"].alias("rule_name"), m["category"].alias("category"), m["reason"].alias("reason"), F.concat(m["prefix"], F.when(m["value"] == "", label_of(strategy, m["category"])).otherwise(strategy.column(m["value"], m["category"]))).alias("replacement")))
@@ -160,7 +169,7 @@ def masked(text: Column, found: Column, policy) -> Column:  # noqa: ANN001
     # bound once: the masks are computed once and used for the text and the findings
     cleaned = lambda w: F.aggregate(w, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
     findings = lambda w: F.transform(w, lambda x: F.struct(x["rule_name"].alias("rule_name"), x["category"].alias("category"), x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement"), x["reason"].alias("reason"), F.lit(None).cast("string").alias("location")))
-    both = F.transform(F.array(with_mask), lambda w: F.struct(F.when(F.size(w) == 0, text).otherwise(cleaned(w)).alias("cleaned"), findings(w).alias("findings")))
+    both = F.transform(F.array(with_mask), lambda w: F.struct((F.when(F.size(w) == 0, text).otherwise(cleaned(w)) if shown else F.lit(None).cast("string")).alias("cleaned"), findings(w).alias("findings")))
     return both[0]
 
 

@@ -34,7 +34,7 @@ def result(text: Column, policy: Policy | None = None, audit: bool = False) -> C
         over = F.size(m) > policy.max_findings
         limits = F.when(long, F.array(F.lit("max_text_chars"))).when(m.isNull() & text.isNotNull(), F.array(F.lit("max_matches"))).when(over, F.array(F.lit("max_findings"))).otherwise(F.expr("cast(array() AS array<string>)"))
         kept = F.slice(m, 1, policy.max_findings) if audit else F.when(~over, m).otherwise(F.expr(f"cast(null AS array<{t.MATCH}>)"))
-        both = t.masked(text, kept, policy)
+        both = t.masked(text, kept, policy, shown=not audit)
         stop = blocked(m)
         return F.struct(
             F.when((F.size(F.coalesce(stop, F.array())) == 0) & ~over & ~long, both["cleaned"]).alias("cleaned"),

@@ -3,8 +3,9 @@
 Names are in the schema, so field, path and allowlist decisions are made once, on
 the driver, and the plan holds only what is left: pruned structs, masks, and text
 rules at the leaves.  Pruned fields aren't read from Parquet at all.  Array
-elements are addressed by their source index; map keys are tested at run time.
-A masked number becomes a string, so its column does for all rows.
+elements are addressed by their source index, and an array longer than max_items is
+cut there, with a mark if its elements are texts.  Map keys are data, so columns with
+maps go through the JSON walk.  A masked number becomes a string, so its column does for all rows.
 """
 
 from __future__ import annotations
@@ -150,14 +151,19 @@ class Compiler:
             return F.when(c.isNotNull(), F.struct(*made)) if made else F.when(c.isNotNull(), F.expr("named_struct()"))
         if isinstance(kind, (T.ArrayType, T.MapType)):
             self.inside += 1
-            out = self.array(c, kind, path, depth) if isinstance(kind, T.ArrayType) else self.map(c, kind, path, depth)
+            out = self.shortened(self.array(F.slice(c, 1, self.policy.max_items), kind, path, depth), c, kind) if isinstance(kind, T.ArrayType) else self.map(c, kind, path, depth)
             self.inside -= 1
             return out
         self.counts["unsupported"] = self.counts.get("unsupported", 0) + 1
         return F.when(c.isNotNull(), F.lit(f"[UNSUPPORTED:{kind.typeName()}]"))
 
+    def shortened(self, made: Column, c: Column, kind: T.ArrayType) -> Column:
+        if not isinstance(kind.elementType, T.StringType):
+            return made
+        return F.when(F.size(c) > self.policy.max_items, F.concat(made, F.array(F.lit(TRUNCATED)))).otherwise(made)
+
     def key(self, name: str, taken: set[str]) -> str:
-        shown = redact(name, self.policy)[0] if self.policy.clean_mapping_keys else name
+        shown = redact(name, self.policy)[0]
         unique, k = shown, 2
         while unique in taken:
             unique, k = f"{shown}#{k}", k + 1
@@ -200,10 +206,9 @@ class Compiler:
         return self.policy.decide(path, None, scalar)[0] != "omit"
 
     def map(self, c: Column, kind: T.MapType, path: tuple, depth: int) -> Column:
-        sensitive = list(self.policy._keys)
-        canonical = lambda k: F.replace(F.lower(F.trim(k)), F.lit("-"), F.lit("_"))
-        made = F.transform_values(c, lambda k, v: F.when(canonical(k.cast("string")).isin(sensitive), self.mask(v, kind.valueType)).otherwise(self.as_text(self.value(v, kind.valueType, path, depth + 1), T.StringType())))
-        return F.map_filter(made, lambda k, _: F.lit(self.policy.allowed(canonical_path((*path, "*"))) != "none"))
+        """A map's keys are data: rules, allowlist and key scanning need the JSON walk."""
+        self.python_inside = True
+        return F.when(c.isNotNull(), F.expr("cast(map() AS map<string,string>)"))
 
 
 def compile_policy(schema: T.StructType, policy: Policy | None = None, adapters: dict | None = None) -> Compiled:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -211,7 +212,7 @@ def block_drop(spark: SparkSession, sf: str) -> DataFrame:
 
 def block_marker(spark: SparkSession, sf: str) -> DataFrame:
     shown = c.clean_text(F.col("text"), MAIL.block("email"), "marker")
-    return _docs(spark, sf).select("doc_id", F.substring(shown, 1, 8).alias("head"))
+    return _docs(spark, sf).select("doc_id", F.sha2(shown, 256).alias("shown_sha256"))
 
 
 def bytes_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,6 +237,33 @@ def custom_rule_native(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "customer").select("c_custkey", c.clean_text(text, Policy(rules=(r.CustomRule("ssn", "ssn", r"\d{3}-\d{2}-\d{4}", trusted=True),))).alias("cleaned"))
 
 
+def _extras(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers with a map whose keys are data."""
+    pairs = F.map_from_arrays(F.array(F.lit("status"), F.lit("cardType"), F.lit("a@b.example")), F.array("c_mktsegment", F.col("c_nationkey").cast("string"), "c_name"))
+    return _t(spark, sf, "customer").select("c_custkey", pairs.alias("more"))
+
+
+def map_rules(spark: SparkSession, sf: str) -> DataFrame:
+    policy = Policy().add_path_rules(PathRule("more.status", "remove")).add_field_rules(FieldRule("card_type", "mask"))
+    more = F.col("more")
+    return clean_frame(_extras(spark, sf), policy).select("c_custkey", more["status"].alias("status"), more["cardType"].alias("card_type"), F.array_join(F.array_sort(F.map_keys(more)), ",").alias("names"))
+
+
+def map_allowlist(spark: SparkSession, sf: str) -> DataFrame:
+    out = clean_frame(_extras(spark, sf), Policy().allow_paths("c_custkey", "more.status"))
+    return out.select("c_custkey", F.to_json("more").alias("more"))
+
+
+def item_budget(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.slice(F.split("text", " "), 1, 5)
+    return clean_frame(_docs(spark, sf).select("doc_id", words.alias("items")), replace(Policy(), max_items=3)).select("doc_id", F.array_join("items", " ").alias("items"))
+
+
+def nested_locations(spark: SparkSession, sf: str) -> DataFrame:
+    value = F.to_json(F.struct(F.struct(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@mail.example.com")).alias("reply to"), F.lit("x").alias("token")).alias("who")))
+    return _t(spark, sf, "customer").select("c_custkey", d.audit_json(value, MAIL).alias("x")).select("c_custkey", F.array_join(F.transform("x.findings", lambda f: f["location"]), ",").alias("locations"), "x.complete")
+
+
 def nested_types(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("decimal(15,2)").alias("price"), F.map_from_arrays(F.array(F.lit("password"), F.lit("status")), F.array("o_orderstatus", "o_orderstatus")).alias("more"))
     out = clean_frame(rows, Policy.default())
@@ -310,9 +338,20 @@ def oracle_sql() -> dict[str, str]:
         "stream_clean_events": "SELECT event_id, 'user [EMAIL] did ' || event_type AS line FROM events",
         "log_records": "SELECT 'login ' || c_name || ' from [EMAIL]' AS message, '[SECRET]' AS token, CAST(c_custkey AS VARCHAR) AS key FROM customer",
         "block_drop": f"SELECT doc_id FROM documents WHERE {_found(_MAIL)} = 0",
-        "block_marker": f"SELECT doc_id, CASE WHEN {_found(_MAIL)} > 0 THEN '[BLOCKED' ELSE left(text, 8) END AS head FROM documents",
+        "block_marker": f"SELECT doc_id, sha256(CASE WHEN {_found(_MAIL)} > 0 THEN '[BLOCKED categories=email]' ELSE text END) AS shown_sha256 FROM documents",
         "custom_rule": "SELECT c_custkey, c_name || ' id [REDACTED]' AS cleaned FROM customer",
         "custom_rule_native": "SELECT c_custkey, c_name || ' id [REDACTED]' AS cleaned FROM customer",
+        "map_rules": "SELECT c_custkey, '[REMOVED]' AS status, left('[SECRET]', 8) AS card_type, '[EMAIL],cardType,status' AS names FROM customer",
+        "map_allowlist": """SELECT c_custkey, '{"status":"' || c_mktsegment || '"}' AS more FROM customer""",
+        "item_budget": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' [TRUNCATED]' ELSE '' END AS items FROM documents",
+        "nested_locations": """SELECT c_custkey, '$.who["reply to"],$.who.token' AS locations, true AS complete FROM customer""",
+        "findings_places": f"""WITH RECURSIVE f AS (SELECT doc_id, text, 0 AS seen, 0 AS start, 0 AS end_, '' AS m FROM documents UNION ALL
+            SELECT doc_id, text, seen + length(pre) + length(m), seen + length(pre), seen + length(pre) + length(m), m FROM (SELECT *, split_part(rest, m, 1) AS pre FROM (SELECT doc_id, text, seen, rest, regexp_extract(rest, '{_MAIL}', 1) AS m
+              FROM (SELECT doc_id, text, seen, substr(text, seen + 1) AS rest FROM f)) WHERE m <> ''))
+            SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS end_, '[EMAIL]' AS replacement FROM f WHERE m <> ''""",
+        "describe_text": f"""SELECT doc_id, CASE WHEN n = 0 THEN 'Privacy audit: safe. No sensitive values were found.' ELSE array_to_string(list_concat(['Privacy audit', '', 'Complete: yes',
+            'Risk level: ' || CASE WHEN n >= 3 THEN 'medium' ELSE 'low' END, 'Findings: ' || n, 'Categories: email'], list_transform(range(n), lambda i: 'email')), chr(10)) END AS told FROM (SELECT doc_id, {_found(_MAIL)} AS n FROM documents)""",
+        "clean_url_plain": "SELECT page_id, url AS cleaned FROM pages",
         "nested_types": "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day, CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS price, '[SECRET]' AS password, o_orderstatus AS status FROM orders",
     }
 
@@ -323,7 +362,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         findings_by_category, findings_places, docs_by_risk_level, top_sources_by_findings, redaction_result_summary, explain_text, describe_text, audit_reports,
         mask_partial_email, mask_partial_token, mask_hash_unkeyed, pseudonymize_hmac, field_rules, sensitive_key_struct, path_rule_glob_items, path_rule_index, allowlist_prune,
         clean_url_pages, clean_url_plain, json_walk_events, jsonl_on_error, jsonl_counters, stream_clean_events, log_records, block_drop, block_marker, bytes_clean, finding_budget,
-        custom_rule, custom_rule_native, nested_types,
+        custom_rule, custom_rule_native, nested_types, map_rules, map_allowlist, item_budget, nested_locations,
     )
     return {f.__name__: f for f in own}
 

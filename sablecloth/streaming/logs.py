@@ -7,15 +7,15 @@ stateless projection, so it runs on a readStream frame as it does on a table.
 from __future__ import annotations
 
 import logging
-import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..errors import BlockedError, LimitError
 from ..functions import texts as t
 from ..operators.clean import clean_text
-from ..operators.documents import to_safe_data
+from ..operators.documents import bounded, escaped, to_safe_data
 from ..plans.policy import Policy
 
 MAX_RENDER = 16_384
@@ -23,32 +23,6 @@ MAX_RENDER = 16_384
 STANDARD = frozenset(vars(logging.makeLogRecord({}))) | {"message", "asctime", "taskName"}
 
 
-def escaped(text: str, keep: str = "") -> str:
-    """Control and format characters as visible escapes."""
-    out = []
-    for ch in text:
-        n = ord(ch)
-        if ch in keep or unicodedata.category(ch) not in ("Cc", "Cf", "Cs"):
-            out.append(ch)
-        else:
-            out.append(f"\\x{n:02x}" if n <= 0xFF else f"\\u{n:04x}" if n <= 0xFFFF else f"\\U{n:08x}")
-    return "".join(out)
-
-
-def bounded(text: str, most: int = MAX_RENDER) -> str:
-    return text if len(text) <= most else text[: most - 3] + "..."
-
-
-def escaped_column(text: Column, keep: str = "") -> Column:
-    """escaped() of a column; texts without such characters don't leave the JVM's plan for it."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else bounded(escaped(v, keep)) for v in values], dtype=object)
-
-    return run(text)
-
-
 def rendered(msg: str, args: list | tuple | dict, policy: Policy) -> str:
     """A message with its arguments, cleaned before and after they meet."""
     if args:
@@ -62,7 +36,7 @@ def rendered(msg: str, args: list | tuple | dict, policy: Policy) -> str:
             msg = msg % (tuple(safe) if isinstance(safe, list) else safe)
         except (TypeError, ValueError, KeyError):
             msg = f"{msg} {safe}"
-    return bounded(escaped(t.redact(msg, policy)[0]))
+    return bounded(escaped(t.redact(msg, policy)[0]), MAX_RENDER)
 
 
 def clean_logs(records: DataFrame, policy: Policy | None = None, blocked: str = "marker") -> DataFrame:
@@ -80,7 +54,7 @@ def clean_logs(records: DataFrame, policy: Policy | None = None, blocked: str =
         for m, a, e, s, x in zip(msg, args, exc, stack, extra, strict=True):
             names = dict(x) if x is not None else {}
             try:
-                text = lambda v: None if v is None else bounded(escaped(t.redact(v, policy)[0], "\n\t"))
+                text = lambda v: None if v is None else bounded(escaped(t.redact(v, policy)[0], "\n\t"), MAX_RENDER)
                 safe = to_safe_data(names, policy).cleaned
                 rows.append((rendered(m or "", list(a) if a is not None else [], policy), text(e), text(s), {k: None if v is None else str(v) for k, v in safe.items()}, False))
             except BlockedError as error:
@@ -115,8 +89,8 @@ class SafeFilter(logging.Filter):
             text = rendered(str(record.msg), record.args or (), self.policy)
             if record.exc_info and not record.exc_text:
                 record.exc_text = logging.Formatter().formatException(record.exc_info)
-            exc = record.exc_text and bounded(escaped(t.redact(record.exc_text, self.policy)[0], "\n\t"))
-            stack = record.stack_info and bounded(escaped(t.redact(record.stack_info, self.policy)[0], "\n\t"))
+            exc = record.exc_text and bounded(escaped(t.redact(record.exc_text, self.policy)[0], "\n\t"), MAX_RENDER)
+            stack = record.stack_info and bounded(escaped(t.redact(record.stack_info, self.policy)[0], "\n\t"), MAX_RENDER)
             extras = to_safe_data({k: v for k, v in vars(record).items() if k not in STANDARD}, self.policy).cleaned
         except BlockedError as e:
             if self.drop_blocked is not None:
@@ -151,9 +125,29 @@ class SafeFormatter(logging.Formatter):
         return super().format(copy)
 
 
-def safe_logger(name: str, policy: Policy | None = None) -> logging.Logger:
-    """A logger whose records are cleaned, once."""
+def _handlers(logger: logging.Logger) -> Iterator[logging.Handler]:
+    """The handlers that records of a logger or of its descendants reach."""
+    at: logging.Logger | None = logger
+    while at is not None:
+        yield from at.handlers
+        at = at.parent if at.propagate else None
+    for name, other in list(logging.Logger.manager.loggerDict.items()):
+        if isinstance(other, logging.Logger) and (logger is logging.root or name.startswith(f"{logger.name}.")):
+            yield from other.handlers
+
+
+def safe_logger(name: str, policy: Policy | None = None, drop_blocked: bool | None = None) -> logging.Logger:
+    """A logger whose records, and those of its descendants, are cleaned.
+
+    A logger's own filters don't see records of its descendants, so the handlers get
+    a filter for this name too; a second call changes the filters that are there.
+    Handlers that are added later need another call."""
     logger = logging.getLogger(name)
-    if not any(isinstance(f, SafeFilter) for f in logger.filters):
-        logger.addFilter(SafeFilter(policy, name))
+    namespace = "" if logger is logging.root else logger.name
+    for place in (logger, *{id(h): h for h in _handlers(logger)}.values()):
+        own = next((f for f in place.filters if isinstance(f, SafeFilter) and f.namespace == namespace), None)
+        if own is None:
+            place.addFilter(SafeFilter(policy, namespace, drop_blocked))
+        else:
+            own.policy, own.drop_blocked = policy or Policy(), drop_blocked
     return logger
