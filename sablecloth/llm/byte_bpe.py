@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 #: Pieces that a worker keeps, and bytes of pieces that one recursive query takes.
-KNOWN_PIECES = 400_000
+KNOWN_PIECES = 300_000
 QUERY_BYTES = 400_000
 #: The recursion over longer pieces holds their last state only, and contracts all pairs of a
 #: rank at once where that gives the same: theirs is the same rule, at a bounded cost in memory.
@@ -95,8 +95,9 @@ class Encoder:
         self.ranks = ranks
         self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # known from earlier texts; what isn't used again is forgotten
         self.raw: dict[str, bytes] = {}  # decoded bytes of pieces that differ from the piece's own
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "250MB"})
         pairs = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         l, r, rank = (list(x) for x in zip(*pairs, strict=True)) if pairs else ([], [], [])
         self._table("merges", {"l": pa.array(l, pa.int32()), "r": pa.array(r, pa.int32()), "rank": pa.array(rank, pa.int32())})
@@ -140,9 +141,9 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Solves the pieces that aren't known yet."""
-        if len(self.ids) + len(pieces) > KNOWN_PIECES:
-            self.ids = {p: x for p in pieces if (x := self.ids.get(p))}
-            self.raw = {p: self.raw[p] for p in self.ids if p in self.raw}
+        if len(self.ids) + len(pieces) > KNOWN_PIECES // 2:
+            self.older, self.ids = self.ids, {}
+            self.raw = {p: x for p, x in self.raw.items() if p in self.older}
         few: list[tuple[str, bytes]] = []
         size = 0
 
@@ -155,6 +156,9 @@ class Encoder:
         for piece in pieces:
             if piece in self.ids:
                 continue
+            if (known := self.older.get(piece)) is not None:
+                self.ids[piece] = known
+                continue
             raw = piece.encode()
             if (whole := self.ranks.get(raw)) is not None:  # a piece that is itself a token isn't merged
                 self.ids[piece] = whole.to_bytes(4, "little")
@@ -192,7 +196,7 @@ def _plain_pattern(pattern: str) -> re.Pattern | None:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_TEXT_CHARS = 4_000_000
+_TEXT_CHARS = 2_000_000
 
 
 def _batch_texts(column: pa.Array) -> Iterator[list[str]]:

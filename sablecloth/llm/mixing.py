@@ -214,14 +214,16 @@ def fit_rates(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS)
     return r
 
 
-def fit_kept(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS) -> np.ndarray:
+def fit_kept(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS, least_first: float = NOTHING) -> np.ndarray:
     """Rates between 0 and 1 whose expected tokens are in the proportions of the targets, by cell.
 
     Every domain is held against the first, so documents that are surely of the first
     have a rate of 1.  A domain with fewer tokens than its proportion asks for keeps
-    them all, rather than that the first gives way.  If no documents at all are in the
-    proportions, rates come as close as they can to the first domain's tokens and the
-    others' due; posteriors that are all alike say nothing, and everything stays."""
+    them all, rather than that the first gives way.  If the targets can't be met, or only
+    with less than a share of least_first of the first domain's tokens, because posteriors
+    are blurred, documents that are likeliest of the first domain all stay, and the rates of the others bring
+    the domains as close to their due as they can; a warning names the shares reached.
+    Posteriors that are all alike say nothing, and everything stays."""
     if not n.sum():
         return np.ones(len(n))
     if np.ptp(p, axis=0).max() < 1e-9:
@@ -233,9 +235,14 @@ def fit_kept(n: np.ndarray, p: np.ndarray, targets: dict[str, float] = TARGETS)
     scarce = by @ (n @ p) < 0
     unit = np.sqrt(np.maximum(share[1:], 1e-9) * n.sum())
     r, met = _descend(n, p, by, np.zeros(len(share) - 1), unit, 1.0, scarce)
-    if not met or (r * n).sum() <= NOTHING * n.sum():
-        total = (n @ p)[0] / share[0] * share
-        r, met = _descend(n, p, np.eye(len(share)), total, np.sqrt(np.maximum(total, 1e-9 * n.sum())), 1.0, np.zeros(len(share), bool))
+    if not met or (r * n) @ p[:, 0] < least_first * (n @ p[:, 0]):
+        first = p.argmax(axis=1) == 0
+        r, met = np.ones(len(n)), False
+        if not first.all() and (n * ~first).any():
+            # what the first domain's own documents bring is taken off the others' due
+            due = np.maximum((n @ p)[0] / share[0] * share - (n * first) @ p, 0.0)
+            unit = np.sqrt(np.maximum((n @ p)[0] / share[0] * share, 1e-9 * n.sum()))
+            r[~first], _ = _descend(n[~first], p[~first], np.eye(len(share)), due, unit, 1.0, np.zeros(len(share), bool))
     if scarce.any() or not met:
         _warn(n, p, r, targets)
     return r
@@ -271,11 +278,11 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     return known.select("doc_id", "n_tokens", *(_of_cell(p[:, i], F.col("cell")).alias(f"p_{d}") for i, d in enumerate(DOMAINS)), best.alias("domain"), _of_cell(rate, F.col("cell")).alias("rate"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, least_first: float = NOTHING) -> DataFrame:
     """The documents that the rates keep, columns unchanged: of each cell a share that
-    equals its rate, by a hash of the doc_id."""
+    equals its rate, by a hash of the doc_id.  least_first: see fit_kept()."""
     model = Classifier(docs, labels)
     n = _tokens_by_cell(docs.select(_measured(model.odds).alias("m")).select("m.n_tokens", "m.cell"))
-    rate = fit_kept(n, model.posterior(), targets)
+    rate = fit_kept(n, model.posterior(), targets, least_first)
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
     return docs.filter(place < _of_cell(rate, _measured(model.odds)["cell"]))

@@ -564,6 +564,11 @@ def test_rates_of_documents_kept_once():
     rate = mixing.fit_kept(n, p)
     sums = (rate * n) @ p
     assert rate.min() >= 0 and rate.max() <= 1 and np.abs(sums / sums.sum() - list(mixing.TARGETS.values())).max() < 2e-4
+    # blurred posteriors: likely clean documents stay, whatever the targets say
+    blurred = np.array([[0.95, 0.04, 0.01, 0.0]] * 200 + [[0.1, 0.9, 0.0, 0.0]] * 60 + [[0.1, 0.0, 0.9, 0.0]] * 40)
+    with pytest.warns(RuntimeWarning, match="can't be met"):
+        rate = mixing.fit_kept(np.full(300, 100.0), blurred, least_first=0.95)
+    assert (rate[:200] == 1).all() and rate[200:260].max() < 0.05 and 0.1 < rate[260:].mean() < 0.3
     few = np.array([[1.0, 0, 0, 0]] * 299 + [[0, 1, 0, 0]])
     with pytest.warns(RuntimeWarning, match="can't be met"):
         assert (mixing.fit_kept(np.ones(300), few) == 1).all()  # one toxic token of 300 stays, and so does what is clean
