@@ -15,6 +15,8 @@ from sablecloth.llm.cluster import written
 
 #: Least similarity, in percent, of the near-duplicates that go.
 NEAR_PERCENT = 80
+#: Share of the clean domain's tokens that mixing may not go under for its targets.
+LEAST_CLEAN = 0.95
 #: Stages two to four fit models and draw statistics; SQL can't express the first.
 ORACLE_SQL = None
 
@@ -35,8 +37,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents stay at the rates that bring the domains to their targets."""
-    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents stay at the rates that bring the domains to their targets; clean ones stay."""
+    return mixing.mixed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least_first=LEAST_CLEAN)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
