@@ -293,6 +293,14 @@ def _hmac_sql(value: str) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {payload})))"
 
 
+def _places_sql(pattern: str) -> str:
+    """Every match of the pattern's group, looked for again behind the one before."""
+    return f"""WITH RECURSIVE f AS (SELECT doc_id, text, 0 AS seen, 0 AS start, 0 AS end_, '' AS m FROM documents UNION ALL
+        SELECT doc_id, text, seen + length(pre) + length(m), seen + length(pre), seen + length(pre) + length(m), m FROM (SELECT *, split_part(rest, m, 1) AS pre FROM
+          (SELECT doc_id, text, seen, rest, regexp_extract(rest, '{pattern}', 1) AS m FROM (SELECT doc_id, text, seen, substr(text, seen + 1) AS rest FROM f)) WHERE m <> ''))
+        SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS end_ FROM f WHERE m <> ''"""
+
+
 _BOTH = f"(SELECT doc_id, source, {_found(_MAIL)} AS e, {_found(_IP)} AS i FROM documents)"
 
 
@@ -345,10 +353,9 @@ def oracle_sql() -> dict[str, str]:
         "map_allowlist": """SELECT c_custkey, '{"status":"' || c_mktsegment || '"}' AS more FROM customer""",
         "item_budget": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:3], ' ') || CASE WHEN len(string_split(text, ' ')) > 3 THEN ' [TRUNCATED]' ELSE '' END AS items FROM documents",
         "nested_locations": """SELECT c_custkey, '$.who["reply to"],$.who.token' AS locations, true AS complete FROM customer""",
-        "findings_places": f"""WITH RECURSIVE f AS (SELECT doc_id, text, 0 AS seen, 0 AS start, 0 AS end_, '' AS m FROM documents UNION ALL
-            SELECT doc_id, text, seen + length(pre) + length(m), seen + length(pre), seen + length(pre) + length(m), m FROM (SELECT *, split_part(rest, m, 1) AS pre FROM (SELECT doc_id, text, seen, rest, regexp_extract(rest, '{_MAIL}', 1) AS m
-              FROM (SELECT doc_id, text, seen, substr(text, seen + 1) AS rest FROM f)) WHERE m <> ''))
-            SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(end_ AS BIGINT) AS end_, '[EMAIL]' AS replacement FROM f WHERE m <> ''""",
+        "finding_budget": f"""WITH x AS (SELECT doc_id, 'email' AS category, start FROM ({_places_sql(_MAIL)}) UNION ALL SELECT doc_id, 'ip_address', start FROM ({_places_sql(_IP)}))
+            SELECT source, k, doc_id, category FROM (SELECT source, doc_id, category, row_number() OVER (PARTITION BY source ORDER BY doc_id, start) AS k FROM x JOIN documents USING (doc_id)) WHERE k <= 3""",
+        "findings_places": f"SELECT *, '[EMAIL]' AS replacement FROM ({_places_sql(_MAIL)})",
         "describe_text": f"""SELECT doc_id, CASE WHEN n = 0 THEN 'Privacy audit: safe. No sensitive values were found.' ELSE array_to_string(list_concat(['Privacy audit', '', 'Complete: yes',
             'Risk level: ' || CASE WHEN n >= 3 THEN 'medium' ELSE 'low' END, 'Findings: ' || n, 'Categories: email'], list_transform(range(n), lambda i: 'email')), chr(10)) END AS told FROM (SELECT doc_id, {_found(_MAIL)} AS n FROM documents)""",
         "clean_url_plain": "SELECT page_id, url AS cleaned FROM pages",
