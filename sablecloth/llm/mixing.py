@@ -35,8 +35,9 @@ FIT_DOCUMENTS = 4000
 #: (quality, toxic) of each domain, and its share of the expected tokens.
 DOMAINS = {"clean": (1, 0), "toxic": (1, 1), "low": (0, 0), "low_toxic": (0, 1)}
 TARGETS = {"clean": 0.94, "toxic": 0.02, "low": 0.03, "low_toxic": 0.01}
-#: Standard errors and labelled documents from which on a word's log-odds count.
-LEAST_SCORE, LEAST_SEEN = 4.0, 3
+#: A word counts if its log-odds are LEAST_ODDS at least, less LEAST_ERRORS standard errors, and
+#: if LEAST_SEEN labelled documents hold it: long documents hold all common words more often.
+LEAST_ODDS, LEAST_ERRORS, LEAST_SEEN = 1.0, 3.0, 3
 #: Bounds of the bins of each ratio and of the sums of log-odds.
 BINS = {"symbols": [0.005, 0.02, 0.08], "upper": [0.08, 0.2, 0.4], "marks": [0.005, 0.05], "varied": [0.2, 0.4, 0.6, 0.8], "low": [1.0, 4.0, 10.0], "toxic": [1.0, 4.0, 8.0]}
 #: The error relative to all tokens that ends the steps, and the tokens of the first
@@ -151,7 +152,7 @@ class Classifier:
 
     @staticmethod
     def _odds(marked: DataFrame, total: dict[str, int], bad: list[str]) -> dict[str, float]:
-        """Log-odds of the domains in bad, by word, of words for which they are clearly above 0.
+        """Log-odds of the domains in bad, by word, of words for which they are clearly above LEAST_ODDS.
 
         What is collected grows with FIT_DOCUMENTS alone."""
         n_a, n_b = (sum(n for d, n in total.items() if (d in bad) == own) for own in (True, False))
@@ -161,7 +162,7 @@ class Classifier:
         seen = marked.select(own.alias("t"), F.explode(_words(_text())).alias("word")).groupBy("word").agg(F.sum("t").alias("a"), F.sum(1 - F.col("t")).alias("b"))
         odds = F.log((F.col("a") + 0.5) / (F.lit(n_a) - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (F.lit(n_b) - F.col("b") + 0.5))
         error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-        clear = seen.filter(f"word <> '' AND a >= {LEAST_SEEN}").select("word", odds.alias("odds"), error.alias("error")).filter(F.col("odds") >= LEAST_SCORE * F.col("error"))
+        clear = seen.filter(f"word <> '' AND a >= {LEAST_SEEN}").select("word", odds.alias("odds"), error.alias("error")).filter(F.col("odds") >= LEAST_ODDS + LEAST_ERRORS * F.col("error"))
         return {r["word"]: r["odds"] for r in clear.orderBy("word").collect()}
 
     def posterior(self) -> np.ndarray:
