@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from itertools import islice
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -141,6 +142,7 @@ CREDENTIAL = (
 )
 AUTHORIZATION = r"(?<![A-Za-z0-9_-])(authorization\s*[:=]\s*(?:bearer|basic)\s+)(\[[A-Z_]+(?::[^\]\s]*)?\]|[^\s'\"&,;<>)\]}]+)"
 SECRET = r"(?<![A-Za-z0-9_])(?:sk_live_[A-Za-z0-9]{8,}|sk_test_[A-Za-z0-9]{8,}|pk_live_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{16,}|AKIA[A-Z0-9]{16}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9_])"
+SECRET_STARTS = ("sk_", "pk_", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "AKIA", "xox")
 
 _I = re.IGNORECASE
 
@@ -165,7 +167,7 @@ token = Rule(
     lambda c: F.lower(c).contains("bearer") | c.contains("eyJ"),
     lambda t: "bearer" in t.lower() or "eyJ" in t,
 )
-secret = Rule("secret", "secret", (Part(SECRET, reason="text matched a vendor secret"),), lambda c: c.rlike("sk_|pk_|sk-|gh[pousr]_|AKIA|xox"), lambda t: re.search("sk_|pk_|sk-|gh[pousr]_|AKIA|xox", t) is not None)
+secret = Rule("secret", "secret", (Part(SECRET, reason="text matched a vendor secret"),), lambda c: reduce(or_, (c.contains(x) for x in SECRET_STARTS)), lambda t: any(x in t for x in SECRET_STARTS))
 credit_card = Rule(
     "credit_card",
     "credit_card",

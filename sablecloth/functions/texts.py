@@ -96,6 +96,11 @@ def _none(kind: str) -> Column:
     return F.expr(f"cast(array() AS array<{kind}>)")
 
 
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """use(value), where value is computed once however often it is used; use must not hold Python functions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _matches(text: Column, rule: Rule, part: Part, k: int) -> Column:
     java = part.for_java
     found = F.regexp_extract_all(text, F.lit(java), F.lit(0))
@@ -103,6 +108,8 @@ def _matches(text: Column, rule: Rule, part: Part, k: int) -> Column:
     # what stays is what stands before the value, so the pattern needn't run for it
     prefix = F.zip_with(found, value, lambda m, v: F.substr(m, F.lit(1), F.length(m) - F.length(v))) if part.prefix_group else F.transform(found, lambda _: F.lit(""))
     rows = F.arrays_zip(F.split(text, java, -1).alias("gap"), found.alias("found"), value.alias("value"), prefix.alias("prefix"))
+    if rule.test_column is None:
+        rows = F.slice(rows, 1, MAX_MATCHES + 1)  # one more than is allowed says enough
     name, category, reason, ord_ = F.lit(rule.name), F.lit(rule.category), F.lit(part.reason), F.lit(k)
 
     def step(acc: Column, x: Column) -> Column:
@@ -137,20 +144,23 @@ def _python_matches(text: Column, rule, k: int) -> Column:  # noqa: ANN001
 
 def matches(text: Column, policy) -> Column:  # noqa: ANN001
     """Resolved matches of a text; null where a deadline broke."""
-    found = []
-    for k, rule in enumerate(policy.rules):
-        # rules of users need find() only; those run in Python
-        found += [_matches(text, rule, part, k) for part in rule.parts] if getattr(rule, "native", False) else [_python_matches(text, rule, k)]
-    if not found:
+    if not policy.rules:
         return _none(MATCH)
-    everything = F.concat(*found)
-    ordered = F.array_sort(F.transform(everything, lambda m: F.struct(m["start"].alias("start"), (-m["size"]).alias("minus"), m["ord"].alias("ord"), m.alias("m"))))
+    native = [(k, rule) for k, rule in enumerate(policy.rules) if getattr(rule, "native", False)]
+    # rules of users need find() only; those run in Python
+    found = [_python_matches(text, rule, k) for k, rule in enumerate(policy.rules) if (k, rule) not in native]
+    if native:
+        found.append(bound(text, lambda t: F.concat(*(_matches(t, rule, part, k) for k, rule in native for part in rule.parts))))
 
     def step(acc: Column, x: Column) -> Column:
         return F.when(x["start"] >= acc["last"], F.struct((x["start"] - x["minus"]).alias("last"), F.concat(acc["out"], F.array(x["m"])).alias("out"))).otherwise(acc)
 
-    kept = F.aggregate(ordered, F.struct(F.lit(-1).alias("last"), _none(MATCH).alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.size(everything) == 0, _none(MATCH)).when(F.size(everything) > MAX_MATCHES, F.lit(None).cast(f"array<{MATCH}>")).otherwise(kept)
+    def resolved(everything: Column) -> Column:
+        ordered = F.array_sort(F.transform(everything, lambda m: F.struct(m["start"].alias("start"), (-m["size"]).alias("minus"), m["ord"].alias("ord"), m.alias("m"))))
+        kept = F.aggregate(ordered, F.struct(F.lit(-1).alias("last"), _none(MATCH).alias("out")), step, lambda acc: acc["out"])
+        return F.when(F.size(everything) == 0, _none(MATCH)).when(F.size(everything) > MAX_MATCHES, F.lit(None).cast(f"array<{MATCH}>")).otherwise(kept)
+
+    return bound(F.concat(*found), resolved)
 
 
 def masked(text: Column, found: Column, policy, shown: bool = True) -> Column:  # noqa: ANN001

@@ -25,7 +25,8 @@ def result(text: Column, policy: Policy | None = None, audit: bool = False) -> C
     categories has a null cleaned text too.  audit: findings are kept up to
     max_findings, with a limitation beyond; else more of them are a limit."""
     policy = policy or Policy()
-    long = F.length(text) > MAX_TEXT_CHARS
+    native = getattr(policy.masking, "native", False)
+    long = (F.octet_length(text) > MAX_TEXT_CHARS) & (F.length(text) > MAX_TEXT_CHARS)  # the bytes needn't be counted
     found = t.matches(F.when(~long, text), policy)
     categories = lambda m: F.transform(m, lambda x: x["category"])
     blocked = (lambda m: _distinct(F.filter(categories(m), lambda c: c.isin(list(policy.block_categories))))) if policy.block_categories and not audit else (lambda m: F.expr("cast(array() AS array<string>)"))
@@ -36,15 +37,16 @@ def result(text: Column, policy: Policy | None = None, audit: bool = False) -> C
         kept = F.slice(m, 1, policy.max_findings) if audit else F.when(~over, m).otherwise(F.expr(f"cast(null AS array<{t.MATCH}>)"))
         both = t.masked(text, kept, policy, shown=not audit)
         stop = blocked(m)
-        return F.struct(
+        whole = lambda both: F.struct(
             F.when((F.size(F.coalesce(stop, F.array())) == 0) & ~over & ~long, both["cleaned"]).alias("cleaned"),
             F.coalesce(both["findings"], F.expr(f"cast(array() AS array<{t.FINDING}>)")).alias("findings"),
             limits.alias("limitations"),
             F.coalesce(stop, F.expr("cast(array() AS array<string>)")).alias("blocked"),
         )
+        return t.bound(both, whole) if native else whole(both)
 
     # bound once by a lambda; Python can't run in one, so then the parts are computed apart
-    return F.transform(F.array(found), made)[0] if getattr(policy.masking, "native", False) else made(found)
+    return t.bound(found, made) if native else made(found)
 
 
 def _raised(res: Column, policy: Policy) -> Column:

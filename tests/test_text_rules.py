@@ -168,3 +168,17 @@ def test_rules_and_masks_of_users(spark):
     rows = spark.createDataFrame([("be QUIET now",), (None,)], "t string")
     assert t.redact("be QUIET now", policy)[0] == "be quiet now"
     assert [x.c for x in rows.select(c.clean_text(F.col("t"), policy).alias("c")).collect()] == ["be quiet now", None]
+
+
+def test_too_many_matches_are_a_limit(spark):
+    rows = spark.createDataFrame([("a@b.co " * 10_001,), ("a@b.co " * 10_000,), ("a@b.co",)], "t string")
+    policy = Policy(rules=(r.email,), max_findings=10_000)
+    got = rows.select(c.result(F.col("t"), policy).alias("r")).select("r.limitations", F.size("r.findings").alias("n")).collect()
+    assert [(x.limitations, x.n) for x in got] == [(["max_matches"], 0), ([], 10_000), ([], 1)]
+
+
+def test_rules_of_users_beside_native_ones(spark):
+    policy = Policy(rules=(r.email, Shouting()))
+    text = "be QUIET a@b.co"
+    rows = spark.createDataFrame([(text,), ("",), (None,)], "t string")
+    assert [x.c for x in rows.select(c.clean_text(F.col("t"), policy).alias("c")).collect()] == [t.redact(text, policy)[0], "", None]
