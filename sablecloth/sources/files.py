@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..errors import LimitError, LineError
 from ..functions import texts as t
@@ -34,27 +34,43 @@ def _mode(on_error: str) -> None:
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_number, text): lines of text files, numbered within each file from 1.
 
-    A file is split where it lies; LF, CR and CRLF end lines."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "(\\r\\n|\\r|\\n)$", "").alias("value"))
-    lines = whole.filter("value <> ''").select("path", F.posexplode(F.split("value", "\\r\\n|\\r|\\n", -1)).alias("i", "text"))
-    return lines.select("path", (F.col("i") + 1).cast("long").alias("line_number"), "text")
+    LF, CR and CRLF end lines.  Large files are read in splits; a line's number is its
+    place in its split and the lines of the splits before, of which there is one row each."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+    splits = lines.groupBy("path", "split_start").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1))
+    known = splits.select("path", "split_start", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(known, ["path", "split_start"]).select("path", (F.col("place") + F.col("shift")).alias("line_number"), "text")
 
 
 def scan_text(spark: SparkSession, path: str, policy: Policy | None = None) -> DataFrame:
     """Findings of text files with places `name:line:column`; the first max_findings of a file."""
     policy = policy or Policy()
-    from pyspark.sql import Window
-
     found = c.findings_table(text_lines(spark, path), ["text"], ["path", "line_number"], policy).drop("column")
     name = F.element_at(F.split("path", "/"), -1)
     rank = F.row_number().over(Window.partitionBy("path").orderBy("line_number", "start"))
     return found.withColumn("location", F.concat_ws(":", name, "line_number", (F.col("start") + 1).cast("string"))).withColumn("_k", rank).filter(F.col("_k") <= policy.max_findings).drop("_k")
 
 
+def audit_text(spark: SparkSession, path: str, policy: Policy | None = None) -> DataFrame:
+    """One row a file: lines, findings (max_findings at most), and whether and why not all was seen."""
+    policy = policy or Policy()
+    lines = text_lines(spark, path).select("path", c.result(F.col("text"), policy, audit=True).alias("r"))
+    # a line names few limits, so the set of them is small
+    seen = lines.groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.size("r.findings")).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("r.limitations")))).alias("limits"))
+    # a line too long to be scanned has the name that it has in scan_file()
+    limits = F.transform("limits", lambda x: F.when(x == "max_text_chars", "max_line_chars").otherwise(x))
+    limits = F.when(F.col("n") >= policy.max_findings, F.array_union(limits, F.array(F.lit("max_findings")))).otherwise(limits)
+    return seen.select("path", "lines", F.least("n", F.lit(policy.max_findings)).alias("finding_count"), (F.size(limits) == 0).alias("complete"), limits.alias("limitations"))
+
+
 def clean_text_files(spark: SparkSession, path: str, output: str, policy: Policy | None = None) -> None:
-    """Cleans text files into a folder; the output committer makes it all or nothing."""
-    lines = spark.read.text(path)
-    lines.select(c.clean_text(F.col("value"), policy, "raise").alias("value")).write.text(output)
+    """Cleans text files into a folder; the output committer makes it all or nothing.
+
+    LF and CRLF stay as they are; a CR alone stays too but doesn't end a line here.  Names
+    of the files aren't kept: clean_file() is for that."""
+    lines = spark.read.text(path, lineSep="\n")
+    lines.select(c.clean_text(F.col("value"), policy, "raise").alias("value")).write.text(output, lineSep="\n")
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -73,21 +89,25 @@ def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", "content").mapInArrow(parted, "path string, line_number long, raw binary")
 
 
-def _line(raw: bytes, policy: Policy) -> tuple[dict | None, str | None]:
-    """A clean record, or the reason why there is none; both None for a blank line."""
+def _parsed(raw: bytes) -> tuple[tuple[object] | None, str | None]:
+    """A line's value in a tuple, or the reason why there is none; both None for a blank line."""
     if len(raw) > MAX_LINE:
         return None, "max_line_bytes"
     try:
         text = raw.decode("utf-8").strip()
+        return ((json.loads(text),) if text else None), None
     except UnicodeDecodeError:
         return None, "invalid_utf8"
-    if not text:
-        return None, None
-    try:
-        value = json.loads(text)
     except json.JSONDecodeError:
         return None, "invalid_json"
-    made = to_safe_data(value, policy)
+
+
+def _line(raw: bytes, policy: Policy) -> tuple[dict | None, str | None]:
+    """A clean record, or the reason why there is none; both None for a blank line."""
+    value, reason = _parsed(raw)
+    if value is None:
+        return None, reason
+    made = to_safe_data(value[0], policy)
     return {"cleaned": json.dumps(made.cleaned, allow_nan=False), "complete": made.complete, "limitations": list(made.limitations), "stats": made.stats}, None
 
 
@@ -173,37 +193,61 @@ def scan_file(path: str | Path, policy: Policy | None = None, encoding: str = "u
     return found, limits
 
 
-def _replaced(output: str | Path, write: Callable) -> Path:
-    """Writes a neighbour, flushes it to disk, keeps the mode, and puts it in place at once."""
-    output = Path(output)
-    if output.is_dir() or not output.parent.is_dir():
-        raise ValueError("output must be a file in a folder that exists")
-    handle, temp = tempfile.mkstemp(dir=output.parent, prefix=f".{output.name}.")
+def _target(path: str | Path, output: str | Path) -> tuple[Path, Path]:
+    """The files that are read and replaced, behind links; raises where they can't be."""
+    source, target = (Path(os.path.realpath(os.path.expanduser(p))) for p in (path, output))
+    for file, needed in ((source, True), (target, False)):
+        if file.is_dir():
+            raise IsADirectoryError(file)
+        if needed and not file.exists():
+            raise FileNotFoundError(file)
+        if file.exists() and not file.is_file():
+            raise ValueError("input and output must be regular files")
+    if not target.parent.is_dir():
+        raise (NotADirectoryError if target.parent.exists() else FileNotFoundError)(target.parent)
+    if target != source and target.exists() and target.samefile(source):
+        raise ValueError("the output is a hard-link to the input; name the input itself to clean it in place")
+    return source, target
+
+
+def _replaced(source: Path, target: Path, encoding: str, write: Callable) -> None:
+    """Writes a neighbour, flushes it to disk and puts it in place at once, with the mode of
+    what it replaces, or of the input."""
+    mode = (target if target.exists() else source).stat().st_mode & 0o7777
+    handle, temp = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
     try:
-        if output.exists():
-            os.chmod(temp, output.stat().st_mode & 0o777)
-        with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
+        with open(handle, "w", encoding=encoding, newline="") as f:
             write(f)
             f.flush()
+            os.chmod(temp, mode)
             os.fsync(f.fileno())
-        os.replace(temp, output)
+        os.replace(temp, target)
     except BaseException:
         Path(temp).unlink(missing_ok=True)
         raise
-    return output
+    # the new name must be on disk too
+    folder = os.open(target.parent, os.O_RDONLY)
+    try:
+        os.fsync(folder)
+    finally:
+        os.close(folder)
 
 
 def clean_file(path: str | Path, output: str | Path, policy: Policy | None = None, encoding: str = "utf-8") -> Path:
-    """Cleans one text file; terminators stay, a block or a limit leaves the output as it was."""
+    """Cleans one text file; terminators and encoding stay, a block or a limit leaves the output as it was.
+
+    Links are followed; the input itself may be the output."""
     policy = policy or Policy()
+    source, target = _target(path, output)
 
     def write(f) -> None:  # noqa: ANN001
-        for _, line in _bounded(path, encoding):
+        for _, line in _bounded(source, encoding):
             if line is None:
                 raise LimitError("max_line_chars", MAX_LINE)
             f.write(t.redact(line, policy)[0])
 
-    return _replaced(output, write)
+    _replaced(source, target, encoding, write)
+    return Path(output)
 
 
 def iter_safe_jsonl(path: str | Path, policy: Policy | None = None, on_error: str = "raise") -> Iterator[tuple[int, dict]]:
@@ -232,10 +276,13 @@ def append_jsonl(value: object, stream, policy: Policy | None = None) -> None:
     stream.write(safe_json(value, policy, separators=(",", ":")) + "\n")
 
 
-def scanned_jsonl(lines: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """(path, line_number, findings, complete) of lines with findings or without a full look."""
+def scanned_jsonl(lines: DataFrame, policy: Policy | None = None, on_error: str = "skip") -> DataFrame:
+    """(path, line_number, findings, complete, error) of lines with findings or without a full look.
+
+    Lines that can't be read raise, are skipped, or (placeholder) have a row that names the error."""
     from ..operators.documents import audit_value
 
+    _mode(on_error)
     policy = policy or Policy()
     kind = pa.struct([("rule_name", pa.string()), ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string()), ("reason", pa.string()), ("location", pa.string())])
 
@@ -243,15 +290,20 @@ def scanned_jsonl(lines: DataFrame, policy: Policy | None = None) -> DataFrame:
         for batch in batches:
             rows = []
             for path, number, raw in zip(*(batch.column(n).to_pylist() for n in ("path", "line_number", "raw")), strict=True):
-                try:
-                    found, limits = audit_value(json.loads(raw.decode()), policy) if raw.strip() and len(raw) <= MAX_LINE else ([], [] if len(raw) <= MAX_LINE else ["max_line_bytes"])
-                except (UnicodeDecodeError, json.JSONDecodeError):
+                value, reason = _parsed(raw or b"")
+                if reason and on_error == "raise":
+                    raise LineError(number, reason)
+                if value is None:
+                    if reason and on_error == "placeholder":
+                        rows.append((path, number, [], False, reason))
                     continue
+                found, limits = audit_value(value[0], policy)
                 if found or limits:
-                    rows.append((path, number, [vars(f) for f in found], not limits))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(kind)), pa.array([r[3] for r in rows], pa.bool_())], names=["path", "line_number", "findings", "complete"])
+                    rows.append((path, number, [vars(f) for f in found], not limits, None))
+            types = [pa.string(), pa.int64(), pa.list_(kind), pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind_) for i, kind_ in enumerate(types)], names=["path", "line_number", "findings", "complete", "error"])
 
-    return lines.mapInArrow(run, f"path string, line_number long, findings array<{t.FINDING}>, complete boolean")
+    return lines.mapInArrow(run, f"path string, line_number long, findings array<{t.FINDING}>, complete boolean, error string")
 
 
 def safe_show(df: DataFrame, n: int = 20, policy: Policy | None = None) -> None:
