@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import SparkSession, functions as F
 
+from ..errors import BlockedError, LimitError
 from ..functions import texts as t
-from ..operators.documents import clean_json
-from ..operators.urls import clean_url_column
+from ..operators.documents import safe_json
+from ..operators.urls import clean_url
 from ..plans.policy import HIGH_RISK, Policy
 
 POLICY_KEY = "sablecloth.policy"
@@ -19,7 +22,10 @@ def session_policy(spark: SparkSession) -> Policy:
 
 
 def register(spark: SparkSession, policy: Policy | None = None) -> None:
-    """clean_text, sensitive_categories, risk_level, clean_url and clean_json_text in SQL."""
+    """clean_text, sensitive_categories, risk_level, clean_url and clean_json_text in SQL.
+
+    clean_url gives null where a limit or a block forbids a result; clean_json_text gives
+    {"_error": "invalid_json"} for what isn't JSON."""
     policy = policy or session_policy(spark)
 
     @F.pandas_udf("string")
@@ -38,9 +44,31 @@ def register(spark: SparkSession, policy: Policy | None = None) -> None:
             out.append("high" if any(f.category in HIGH_RISK for f in found) else "none" if not found else "medium" if len(found) >= 3 else "low")
         return pd.Series(out)
 
+    @F.pandas_udf("string")
+    def url(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else clean_url(v, policy)
+            except (BlockedError, LimitError):
+                return None
+
+        return pd.Series([one(v) for v in values], dtype=object)
+
+    @F.pandas_udf("string")
+    def json_text(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else safe_json(json.loads(v), policy)
+            except json.JSONDecodeError:
+                return json.dumps({"_error": "invalid_json"})
+
+        return pd.Series([one(v) for v in values], dtype=object)
+
+    spark.udf.register("clean_url", url)
+    spark.udf.register("clean_json_text", json_text)
     spark.udf.register("clean_text", clean_text)
     spark.udf.register("sensitive_categories", categories)
     spark.udf.register("risk_level", risk)
 
 
-__all__ = ["clean_json", "clean_url_column", "register", "session_policy"]
+__all__ = ["register", "session_policy"]

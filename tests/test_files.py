@@ -94,3 +94,19 @@ def test_scans_of_json_lines_name_bad_lines(spark, tmp_path):
     with pytest.raises(Exception, match="invalid_json|line 2"):
         files.scanned_jsonl(lines, on_error="raise").collect()
     assert issubclass(LineError, Exception)
+
+
+def test_everything_public_is_there():
+    import sablecloth
+
+    assert len(set(sablecloth.__all__)) == len(sablecloth.__all__) and all(hasattr(sablecloth, n) for n in sablecloth.__all__)
+
+
+def test_functions_of_urls_and_json_in_sql(spark):
+    from sablecloth.functions.sql import register
+    from sablecloth.operators.urls import clean_url
+
+    register(spark, Policy())
+    url = "https://h.example/p?token=abc123456789"
+    got = spark.sql(f"""SELECT clean_url('{url}') u, clean_url(cast(null AS string)) n, clean_json_text('{{"m": "a@b.co"}}') j, clean_json_text('no') b""").first()
+    assert (got.u, got.n, got.j, got.b) == (clean_url(url), None, '{"m": "[EMAIL]"}', '{"_error": "invalid_json"}')
