@@ -6,12 +6,16 @@ in one packed row, so what is shuffled is a few bytes a question and a key that
 everywhere arrives once a chunk, not once a document.  Buckets answer in the order of
 the questions; the answers go back to the chunks, which stay where they are.  Rows:
 (chunk, bucket, data), with bucket STATE for what a chunk keeps for its next step.
+
+Chunks and buckets both grow with the input, so rows of a chunk and a bucket become many
+and small.  together() lets the chunks of a home share rows: such a row is a list of
+(chunk, question), and its answer a list of (chunk, answer).
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,8 @@ from .cluster import parts, written_in_buckets
 from .textbytes import U64, column_bytes, mix
 
 CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 4096
+#: Bytes of questions that chunks of a home gather before they are sent.
+HELD_BYTES = 48_000_000
 STATE = -1
 SCHEMA = "chunk long, bucket int, data binary"
 #: Lower bits of a chunk's number, which count the chunks of its home.
@@ -75,6 +81,23 @@ def rows_of(chunk: int, found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([chunk] * len(found), pa.int64()), pa.array([b for b, _ in found], pa.int32()), pa.array([d for _, d in found], pa.binary())], schema=_ARROW)
 
 
+def together(asked: Iterable[tuple[int, list[tuple[int, tuple[bytes, ...]]]]]) -> Iterator[pa.RecordBatch]:
+    """Rows that hold what several chunks of one home ask a bucket."""
+    held: dict[int, list] = {}
+    size, first = 0, 0
+    for chunk, found in asked:
+        if held and (size >= HELD_BYTES or chunk >> _CHUNK_BITS != first >> _CHUNK_BITS):
+            yield rows_of(first, [(b, pack(x)) for b, x in held.items()])
+            held, size = {}, 0
+        if not held:
+            first = chunk
+        for b, x in found:
+            held.setdefault(b, []).append((chunk, x))
+            size += sum(map(len, x))
+    if held:
+        yield rows_of(first, [(b, pack(x)) for b, x in held.items()])
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     ids, texts, size = [], [], 0
     for batch in batches:
@@ -142,6 +165,26 @@ def asking(content: DataFrame, ask: Callable[[Chunk], list[tuple[int, bytes]]])
     return content.select("chunk", "data").mapInArrow(run, SCHEMA)
 
 
+def asking_together(content: DataFrame, ask: Callable[[Chunk], list[tuple[int, tuple[bytes, ...]]]]) -> DataFrame:
+    """The first questions of all chunks, in rows of together()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from together((chunk.as_py(), ask(unpack(data.as_py()))) for batch in batches for chunk, data in zip(batch.column("chunk"), batch.column("data"), strict=True))
+
+    return content.select("chunk", "data").mapInArrow(run, SCHEMA)
+
+
+def answered_together(rows: DataFrame, answer: Callable[[list], list[bytes]]) -> DataFrame:
+    """One answer to every question in rows of together()."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [unpack(x) for x in table.column("data").to_pylist()]
+        told = iter(answer([x for row in asked for _, x in row]))
+        return pa.table([table.column("chunk"), table.column("bucket"), pa.array([pack([(chunk, next(told)) for chunk, _ in row]) for row in asked], pa.binary())], schema=_ARROW)
+
+    return rows.groupBy("bucket").applyInArrow(run, SCHEMA)
+
+
 def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
     """One answer to every question; a task handles one bucket, whose size follows the number of buckets."""
 
@@ -155,6 +198,15 @@ def returned(content: DataFrame, told: list[DataFrame], use: Callable, schema: s
     """use(chunk number, Chunk, [answers by bucket]) yields record batches for every chunk.
 
     A group is what one task gathered: its size is that of a split of the input."""
+    return _cogrouped(content, told, lambda chunks: (batch for number, chunk, known in chunks for batch in use(number, chunk, known)), schema, False)
+
+
+def returned_together(content: DataFrame, told: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """use([(chunk number, Chunk, answers by bucket)]) yields record batches for all chunks of a home; answers are rows of together()."""
+    return _cogrouped(content, [told], lambda chunks: use((number, chunk, known[0]) for number, chunk, known in chunks), schema, True)
+
+
+def _cogrouped(content: DataFrame, told: list[DataFrame], use: Callable, schema: str, joined: bool) -> DataFrame:
     every, n, to_arrow = None, len(told), to_arrow_schema(StructType.fromDDL(schema))
     for k, rows in enumerate(told):
         rows = rows.select(F.shiftright("chunk", _CHUNK_BITS).alias("home"), "chunk", "bucket", "data", F.lit(k).alias("k"))
@@ -163,10 +215,9 @@ def returned(content: DataFrame, told: list[DataFrame], use: Callable, schema: s
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         known: dict[int, list[dict[int, bytes]]] = {}
         for chunk, bucket, data, k in zip(*(answers.column(x).to_pylist() for x in ("chunk", "bucket", "data", "k")), strict=True):
-            known.setdefault(chunk, [{} for _ in range(n)])[k][bucket] = data
-        out = []
-        for chunk, data in zip(own.column("chunk"), own.column("data"), strict=True):
-            out += use(chunk.as_py(), unpack(data.as_py()), known.get(chunk.as_py()) or [{} for _ in range(n)])
+            for of, x in unpack(data) if joined else [(chunk, data)]:
+                known.setdefault(of, [{} for _ in range(n)])[k][bucket] = x
+        out = list(use((chunk.as_py(), unpack(data.as_py()), known.get(chunk.as_py()) or [{} for _ in range(n)]) for chunk, data in zip(own.column("chunk"), own.column("data"), strict=True)))
         return pa.Table.from_batches(out, None if out else to_arrow)
 
     return content.groupBy("home").cogroup(every.groupBy("home")).applyInArrow(run, schema)
@@ -190,12 +241,15 @@ def ask_counts(keys: np.ndarray, counts: np.ndarray, buckets: int) -> list[tuple
 def answer_counts(asked: list[bytes]) -> list[bytes]:
     """Sums of the counts of each key, up to 2**32 - 1."""
     parts = [unpack(x) for x in asked]
-    keys = [unpack_sorted(p[0]) for p in parts]
-    counts = np.concatenate([np.frombuffer(p[1], np.uint32) for p in parts]).astype(np.int64)
+    return [pack(x.tobytes()) for x in totals([unpack_sorted(p[0]) for p in parts], [np.frombuffer(p[1], np.uint32) for p in parts])]
+
+
+def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each of the keys, the sum of its counts in all lists, up to 2**32 - 1."""
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=counts).clip(max=2**32 - 1).astype(np.uint32)[place]
+    total = np.bincount(place, weights=np.concatenate(counts).astype(np.int64)).clip(max=2**32 - 1).astype(np.uint32)[place]
     ends = np.cumsum([len(k) for k in keys])
-    return [pack(total[e - len(k) : e].tobytes()) for k, e in zip(keys, ends, strict=True)]
+    return [total[e - len(k) : e] for k, e in zip(keys, ends, strict=True)]
 
 
 def counts_told(keys: np.ndarray, told: dict[int, bytes], buckets: int) -> np.ndarray:

@@ -62,7 +62,7 @@ class Anchors:
         within = np.arange(len(new)) - np.repeat(run, np.diff(np.append(run, len(new))))
         self.run = np.flatnonzero(within % MOST_STRINGS == 0)  # text that repeats itself may share one for long
         self.stop = np.append(self.run[1:], len(self.at)) - 1
-        self.anchor = anchor[self.run] & U64(2**48 - 1)  # six bytes are asked for: what they confuse is sorted out by the shards
+        self.anchor = anchor[self.run] & U64(2**40 - 1)  # five bytes are asked for: what they confuse is sorted out by the shards
         self.doc = np.searchsorted(chunk.off, self.at[self.run], "right") - 1 if len(self.run) else np.zeros(0, np.int64)
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
@@ -83,22 +83,37 @@ def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) - np.repeat(before - start, size)
 
 
-def answer_anchors(asked: list[bytes]) -> list[bytes]:
+def ask_anchors(chunk: c.Chunk, buckets: int) -> list[tuple[int, tuple[bytes, bytes]]]:
+    """The chunk's anchors, and in how many of its documents each stands."""
+    keys, counts = Anchors(chunk).counted()
+    # anchors of a bucket have one remainder, so only quotients are sent
+    return [(b, (c.pack_sorted(keys[at] // U64(buckets))[1], counts[at].astype(np.uint16).tobytes())) for b, at in c.by_bucket(keys, buckets)]
+
+
+def answer_anchors(asked: list[tuple[bytes, bytes]]) -> list[bytes]:
     """Of each anchor: 0 for one document, 1 for more, 2 for HOT_DOCUMENTS or more."""
-    out = []
-    for total in c.answer_counts(asked):
-        n = np.frombuffer(c.unpack(total), np.uint32)
-        out.append(c.pack(((n > 1).astype(np.uint8) + (n >= HOT_DOCUMENTS)).tobytes()))
-    return out
+    keys, counts = [c.unpack_sorted((len(raw) // 8, raw)) for raw, _ in asked], [np.frombuffer(n, np.uint16) for _, n in asked]
+    return [((n > 1).astype(np.uint8) + (n >= HOT_DOCUMENTS)).tobytes() for n in c.totals(keys, counts)]
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Places as differences modulo 2**32, byte by byte of equal weight."""
+    step = np.diff(x.astype(np.uint32), prepend=np.uint32(0))
+    return np.ascontiguousarray(step.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _places(raw: bytes) -> np.ndarray:
+    step = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(step, dtype=np.uint32)
 
 
-def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tuple[int, bytes]]:
+def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tuple[int, tuple[bytes, ...]]]:
     """The chunk's stretches, by shard: texts, and who has them where."""
     a = Anchors(chunk)
     keys, _ = a.counted()
     kind = np.zeros(len(keys), np.uint8)
     for b, at in c.by_bucket(keys, buckets):
-        kind[at] = np.frombuffer(c.unpack(told[b]), np.uint8)
+        kind[at] = np.frombuffer(told[b], np.uint8)
     kind = kind[np.searchsorted(keys, a.anchor)] if len(keys) else kind
     some, hot = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
     first, last = a.at[a.run[some]], a.at[a.stop[some]] + LENGTH
@@ -114,9 +129,10 @@ def _questions(chunk: c.Chunk, told: dict[int, bytes], buckets: int) -> list[tup
     size = (last - first)[head]
     out = []
     for b, i in c.by_bucket(shard[head], buckets):
+        i = i[np.argsort(first[head[i]])]  # in the order of the chunk, so that places and documents differ little
         who = order[_flat(before[i], count[i])]
         docs, own = np.unique(doc[who], return_inverse=True)
-        out.append((b, c.pack((text[head[i]].tobytes(), size[i].astype(np.uint8).tobytes(), chunk.data[_flat(first[head[i]], size[i])].tobytes(), count[i].astype(np.uint32).tobytes(), ids[docs].tobytes(), own.astype(np.uint16).tobytes(), first[who].astype(np.uint32).tobytes()))))
+        out.append((b, (size[i].astype(np.uint8).tobytes(), chunk.data[_flat(first[head[i]], size[i])].tobytes(), count[i].astype(np.uint32).tobytes(), ids[docs].tobytes(), _steps(own), _steps(first[who]))))
     return out
 
 
@@ -143,15 +159,16 @@ class Shard:
         self.hash, self.size, self.text, self.count, self.doc, self.place = (Growing(k) for k in (np.int64, np.uint8, np.uint8, np.uint32, np.int64, np.uint32))
         self.chunks: list[tuple[int, int]] = []  # number and occurrences of each question
 
-    def add(self, number: int, asked: bytes) -> None:
-        hashes, size, text, count, ids, own, place = c.unpack(asked)
-        self.hash.add(np.frombuffer(hashes, np.int64))
-        own = np.frombuffer(own, np.uint16)
-        self.size.add(np.frombuffer(size, np.uint8))
-        self.text.add(np.frombuffer(text, np.uint8))
+    def add(self, number: int, asked: tuple[bytes, ...]) -> None:
+        size, text, count, ids, own, place = asked
+        size, text, own = np.frombuffer(size, np.uint8), np.frombuffer(text, np.uint8), _places(own)
+        end = np.cumsum(size, dtype=np.int64)
+        self.hash.add(c.Rolling(_BYTES[text]).runs(end - size, end).view(np.int64))  # as bytes that needn't be sent
+        self.size.add(size)
+        self.text.add(text)
         self.count.add(np.frombuffer(count, np.uint32))
         self.doc.add(np.frombuffer(ids, np.int64)[own])
-        self.place.add(np.frombuffer(place, np.uint32))
+        self.place.add(_places(place))
         self.chunks.append((number, len(own)))
 
     def _distinct(self, size: np.ndarray, begin: np.ndarray, data: np.ndarray, store: Store) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +200,7 @@ class Shard:
             k, last, last_at = k + len(new), [int(w[-1]) for w in words], int(at[-1])
         return number, first[:k]
 
-    def answers(self) -> Iterator[tuple[int, bytes]]:
+    def answers(self) -> Iterator[tuple[int, tuple[bytes, bytes]]]:
         """For each chunk, the places of strings that stand in a smaller document, as runs."""
         size, data, count, doc, place = (g.read() for g in (self.size, self.text, self.count, self.doc, self.place))
         if not len(size):
@@ -240,7 +257,7 @@ class Shard:
             off[-1:] |= gone[-1:]
             where = _flat(p, strings)
             if on.any():
-                yield chunk, c.pack((where[on].astype(np.uint32).tobytes(), (where[off] + LENGTH).astype(np.uint32).tobytes()))
+                yield chunk, (_steps(where[on]), _steps(where[off] + LENGTH))
             k += n_own
 
 
@@ -248,16 +265,16 @@ def _answer_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """A task's questions are one shard, which is read as it arrives."""
     shard = Shard()
     for batch in batches:
-        for i in range(batch.num_rows):
-            shard.add(batch.column("chunk")[i].as_py(), batch.column("data")[i].as_py())
-    for number, data in shard.answers():
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([0], pa.int32()), pa.array([data], pa.binary())], names=["chunk", "bucket", "data"])
+        for row in batch.column("data"):
+            for number, asked in c.unpack(row.as_py()):
+                shard.add(number, asked)
+    yield from c.together((number, [(0, x)]) for number, x in shard.answers())
 
 
-def _documents(chunk: c.Chunk, told: list[bytes]) -> pa.RecordBatch:
+def _documents(chunk: c.Chunk, told: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     step = np.zeros(len(chunk.raw) + 1, np.int32)
     for x in told:
-        on, off = (np.frombuffer(y, np.uint32) for y in c.unpack(x))
+        on, off = map(_places, x)
         np.add.at(step, on, 1)
         np.add.at(step, off, -1)
     removed = np.cumsum(step[:-1]) > 0
@@ -283,18 +300,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and a digest of what is left, of every document."""
     buckets = 4 * parts(docs.sparkSession)
 
-    def ask_anchors(chunk: c.Chunk) -> list[tuple[int, bytes]]:
-        return c.ask_counts(*Anchors(chunk).counted(), buckets)
+    def ask(chunk: c.Chunk) -> list[tuple[int, tuple[bytes, bytes]]]:
+        return ask_anchors(chunk, buckets)
 
-    def ask_shards(number: int, chunk: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
-        yield c.rows_of(number, _questions(chunk, told[0], buckets))
+    def ask_shards(chunks: Iterator[tuple[int, c.Chunk, dict]]) -> Iterator[pa.RecordBatch]:
+        return c.together((number, _questions(chunk, told, buckets)) for number, chunk, told in chunks)
 
-    def finish(number: int, chunk: c.Chunk, told: list[dict]) -> Iterator[pa.RecordBatch]:
-        yield _documents(chunk, list(told[0].values()))
+    def finish(chunks: Iterator[tuple[int, c.Chunk, dict]]) -> Iterator[pa.RecordBatch]:
+        return (_documents(chunk, list(told.values())) for _, chunk, told in chunks)
 
     content = c.gather(docs, "chunks")
     # every answer is used once: the steps are one plan, and only the chunks are written
-    anchors = c.answered(c.asking(content, ask_anchors), answer_anchors)
-    shards = c.returned(content, [anchors], ask_shards, c.SCHEMA).repartitionById(buckets, F.col("bucket"))
+    anchors = c.answered_together(c.asking_together(content, ask), answer_anchors)
+    shards = c.returned_together(content, anchors, ask_shards, c.SCHEMA).repartitionById(buckets, F.col("bucket"))
     gone = shards.mapInArrow(_answer_shards, c.SCHEMA).withColumn("bucket", F.spark_partition_id())
-    return c.returned(content, [gone], finish, _RESULT)
+    return c.returned_together(content, gone, finish, _RESULT)

@@ -275,6 +275,37 @@ def test_suffix_dedup(docs, texts, empty, clashing):
     assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.remove_repeats(clashing).count() == len(texts)
 
 
+def test_chunks_of_a_home_share_their_questions():
+    """What op5 sends doesn't grow with chunks times buckets, and shards find the same strings."""
+    rand, buckets, home = np.random.default_rng(8), 600, 3 << 20
+    lines = ["".join(map(chr, rand.integers(97, 123, 90))) for _ in range(60)]
+    parts = [chunks.Chunk([10 * k + i for i in range(10)], [" ".join(lines[j] for j in rand.integers(0, 60, 30)).encode() for i in range(10)]) for k in range(12)]
+    asked = [row for batch in chunks.together((home + k, suffix_dedup.ask_anchors(x, buckets)) for k, x in enumerate(parts)) for row in batch.to_pylist()]
+    assert len(asked) <= buckets and {r["chunk"] for r in asked} == {home}
+    told = {k: {} for k in range(12)}
+    for row in asked:
+        held = chunks.unpack(row["data"])
+        for (number, _), x in zip(held, suffix_dedup.answer_anchors([q for _, q in held]), strict=True):
+            told[number - home][row["bucket"]] = x
+    asked = [row for batch in chunks.together((home + k, suffix_dedup._questions(x, told[k], buckets)) for k, x in enumerate(parts)) for row in batch.to_pylist()]
+    assert len(asked) <= buckets and sum(len(r["data"]) for r in asked) < 2.5 * sum(len(x.raw) for x in parts)
+    gone = {k: [] for k in range(12)}
+    for row in asked:
+        shard = suffix_dedup.Shard()
+        for number, x in chunks.unpack(row["data"]):
+            shard.add(number, x)
+        for number, x in shard.answers():
+            gone[number - home].append(x)
+    first: dict[bytes, int] = {}
+    for k, x in enumerate(parts):
+        for i, r in enumerate(suffix_dedup._documents(x, gone[k]).to_pylist()):
+            raw, hit = x.text(i), bytearray(len(x.text(i)))
+            for j in range(len(raw) - 49):
+                if first.setdefault(raw[j : j + 50], x.ids[i]) < x.ids[i]:
+                    hit[j : j + 50] = b"\1" * 50
+            assert r["n_removed"] == sum(hit) and r["kept_sha256"] == sha(bytes(b for b, h in zip(raw, hit, strict=True) if not h))
+
+
 def test_substring_dedup(docs, texts, empty, clashing):
     got = {r.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
     parted = [WORD.findall(t or "") for t in texts]
