@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sablecloth.llm import byte_bpe, mixing, near_dedup, quality_classifier, secret_scans
-from sablecloth.llm.cluster import written
+from sablecloth.llm.cluster import give_back_heap, written
 
 #: Least similarity, in percent, of the near-duplicates that go.
 NEAR_PERCENT = 80
@@ -45,6 +45,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids and round trip of every document that is left."""
     import public_tokenizers
 
+    give_back_heap(spark)  # the stages before took all they could get; here most memory is Python's
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

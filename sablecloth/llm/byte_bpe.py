@@ -192,7 +192,8 @@ def _plain_pattern(pattern: str) -> re.Pattern | None:
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
-_TEXT_CHARS = 4_000_000
+#: Characters of texts that are parted at once; their pieces are objects of some 60 bytes each.
+_TEXT_CHARS = 1_000_000
 
 
 def _batch_texts(column: pa.Array) -> Iterator[list[str]]:

@@ -60,5 +60,14 @@ def forget(*tables: DataFrame) -> None:
         tables[0].sparkSession._jvm.System.gc()
 
 
+def give_back_heap(spark: SparkSession) -> None:
+    """Has every executor collect its garbage, after which a JVM returns heap that it doesn't need.
+
+    A JVM keeps all heap that a stage made it take, and the Python workers of the next
+    stage come on top of that.  One small task a core, so every executor gets some."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,6 +11,7 @@ import warnings
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -658,6 +659,23 @@ def test_bpe_where_a_merge_makes_a_pair_of_lower_rank():
         assert raw == text.encode() and np.frombuffer(ids, "<u4").tolist() == [ranks[x] for x in parts]
 
 
+def test_heap_is_given_back(spark, docs):
+    """A stage's garbage doesn't stay with the JVM while the workers of byte-level BPE run."""
+    import corpus_pipeline
+
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    for _ in range(8):
+        spark.sparkContext._gateway.new_array(spark._jvm.long, 12_000_000)
+    before = runtime.totalMemory()
+    corpus_pipeline.encode(spark, docs, "")
+    assert before > 500e6 and runtime.totalMemory() < before - 200e6
+
+
+def test_bpe_takes_few_texts_at_once():
+    column = pa.array(["a b " * 100_000] * 8)
+    assert [sum(map(len, x)) for x in byte_bpe._batch_texts(column)] == [1_200_000, 1_200_000, 800_000]
+
+
 def test_pipeline(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     pipeline = pytest.importorskip("corpus_pipeline")
